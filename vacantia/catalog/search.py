@@ -73,9 +73,9 @@ _FILTERS = {
     ),
     "flt_conjunction": (
         SearchParams(region=["EUROPE"], seniority=["SENIOR", "STAFF", "MANAGER"], salary_min=5000,
-                     employment_type=["PERMANENT", "FREELANCE"], region_only=True),
+                     employment_type=["CONTRACT", "INTERNSHIP"], region_only=True),
         """list_has_any(eligible_regions, ['EUROPE']) AND seniority IN ('SENIOR', 'STAFF', 'MANAGER')
-           AND salary_max >= 5000 AND employment_type IN ('PERMANENT', 'FREELANCE')
+           AND salary_max >= 5000 AND employment_type IN ('CONTRACT', 'INTERNSHIP')
            AND len(eligible_countries) = 0""",
     ),
 }
@@ -478,7 +478,7 @@ def totals(spark, sf):
     return A.totals(tables(spark, sf))
 
 
-_STATS = """stats AS (SELECT run_id, source_slug, min(at) AS started_at, max(at) AS finished_at, count(*) AS fetched,
+_STATS = """stats AS (SELECT run_id, source_slug, min(occurred_at) AS started_at, max(occurred_at) AS finished_at, count(*) AS fetched,
     count(*) FILTER (outcome IN ('CREATED', 'MERGED', 'UPDATED_EXISTING_LISTING')) AS eligible,
     count(*) FILTER (outcome = 'REJECTED_GEOGRAPHY') AS rejected_geography,
     count(*) FILTER (outcome = 'REJECTED_ROLE_CATEGORY') AS rejected_role,

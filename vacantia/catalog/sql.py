@@ -254,7 +254,7 @@ ROLES = values(
 OUTCOMES = f"""outcomes AS (
   SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS run_id,
     {pick(B.SOURCE_SLUGS, 'user_id')} AS source_slug, event_id AS ordinal,
-    CAST(event_id AS VARCHAR) AS external_id, ts AS at,
+    CAST(event_id AS VARCHAR) AS external_id, ts AS occurred_at,
     CASE WHEN NOT (event_type = 'error' AND user_id % 3 <> 0) THEN
       {pick(['CREATED', 'MERGED', 'UPDATED_EXISTING_LISTING', 'UNCHANGED', 'REJECTED_GEOGRAPHY',
              'REJECTED_ROLE_CATEGORY'], 'event_id')} END AS outcome,

@@ -147,8 +147,8 @@ def run_stats(outcomes: DataFrame, seen_known: DataFrame | None = None) -> DataF
         return F.count_if(F.col("outcome").isin(*kinds))
 
     stats = outcomes.groupBy("run_id", "source_slug").agg(
-        F.min("at").alias("started_at"),
-        F.max("at").alias("finished_at"),
+        F.min("occurred_at").alias("started_at"),
+        F.max("occurred_at").alias("finished_at"),
         F.count("*").alias("fetched"),
         n("CREATED", "MERGED", "UPDATED_EXISTING_LISTING").alias("eligible"),
         n("REJECTED_GEOGRAPHY").alias("rejected_geography"),

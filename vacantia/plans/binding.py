@@ -215,7 +215,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(SOURCE_SLUGS, F.col("user_id")).alias("source_slug"),
         F.col("event_id").alias("ordinal"),
         F.col("event_id").cast("string").alias("external_id"),
-        F.col("ts").alias("at"),
+        F.col("ts").alias("occurred_at"),
         F.when(~failed, pick(kinds, F.col("event_id"))).alias("outcome"),
         F.when(failed, F.concat(F.lit("failed: "), F.col("props"))).alias("error"),
     )
