@@ -79,8 +79,8 @@ _TECH_SQL = S.with_(
     S.POSTINGS, _TEXTS, S.phrase_rows(),
     """alias_hits AS (SELECT doc_id, value AS slug, phrase, ord,
         row_number() OVER (PARTITION BY doc_id, value ORDER BY length(phrase) DESC, ord) AS rn
-      FROM texts JOIN phrases ON dict = 'technology' AND contains(lowered, phrase)
-        AND regexp_matches(lowered, pattern)),
+      FROM texts JOIN phrases ON dict = 'technology'
+        AND CASE WHEN contains(lowered, phrase) THEN regexp_matches(lowered, pattern) ELSE false END),
     hits AS (SELECT doc_id, slug, phrase, length(phrase) AS len, ord FROM alias_hits WHERE rn = 1
       UNION ALL SELECT doc_id, 'GOLANG', 'Go', 0, 999 FROM texts t
       WHERE regexp_matches(everything, '(^|[^A-Za-z0-9])Go($|[^A-Za-z0-9])')
@@ -228,7 +228,7 @@ _SAFE = S.values("safe", ["token", "code"], list(D.SAFE_SHORT_CODES.items()))
 _SIGNALS = f"""phrase_hits AS MATERIALIZED (
   SELECT doc_id, f, field, dict AS kind, {_KINDS} AS k, ord, phrase, value FROM fields
   JOIN phrases ON dict IN ('region','worldwide','us-eligible','exclusive-non-european','country','timezone',
-      'weak-company') AND contains(lowered, phrase) AND regexp_matches(lowered, pattern)),
+      'weak-company') AND CASE WHEN contains(lowered, phrase) THEN regexp_matches(lowered, pattern) ELSE false END),
 tokens AS (SELECT doc_id, f, field, unnest(toks) AS phrase, generate_subscripts(toks, 1) AS ord FROM (
   SELECT doc_id, f, field, regexp_extract_all(
     regexp_replace(text, '\\b([A-Z])\\.([A-Z])\\b', '\\1\\2', 'g'), '\\b[A-Z]{{2,4}}\\b') AS toks FROM fields) t),
