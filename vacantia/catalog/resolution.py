@@ -13,6 +13,7 @@ from vacantia.operators import resolve as R
 from vacantia.plans import binding as B
 from vacantia.plans import classify as P
 from vacantia.plans import ingest as I
+from vacantia.plans.session import written
 from vacantia.plans.tables import SCHEMAS
 
 catalog = Catalog()
@@ -122,13 +123,12 @@ def best_match(spark, sf):
 
 
 def _resolved(spark, sf):
-    I.ensure_checkpoint_dir(spark)
     pending = P.classify(B.raw_postings(spark, sf)).filter("status = 'PENDING'").withColumn(
         "ordinal", F.col("doc_id")
     )
     empty = {name: spark.createDataFrame([], SCHEMAS[name]) for name in ("jobs", "companies", "listings")}
     now = F.timestamp_seconds(F.lit(B.NOW_EPOCH))
-    return I.resolve(pending.checkpoint(), empty["jobs"], empty["companies"], empty["listings"], now)
+    return I.resolve(written(pending), empty["jobs"], empty["companies"], empty["listings"], now)
 
 
 @catalog.add("ded_batch_resolution")
@@ -139,7 +139,6 @@ def batch_resolution(spark, sf):
 @catalog.add("ded_batch_tables")
 def batch_tables(spark, sf):
     """A whole batch applied to empty tables: the jobs after it."""
-    I.ensure_checkpoint_dir(spark)
     raw = M.with_checksum(B.raw_postings(spark, sf)).withColumns(
         {"ordinal": F.col("doc_id"), "run_id": F.concat(F.lit("run-"), F.col("source_slug"))}
     )

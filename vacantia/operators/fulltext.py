@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,7 +79,6 @@ def _longest(word: str, suffixes) -> str | None:
     return max(hits, key=len) if hits else None
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """English stem of a lower-case word (the published Porter 2 rules)."""
     if len(word) <= 2 or not word.isascii() or not word.isalpha():
@@ -147,7 +145,15 @@ def _ends_short(word: str) -> bool:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: [stem(t) for t in ts] if ts is not None else None)
+    known: dict[str, str] = {}
+
+    def stemmed(words):
+        for word in words:
+            if word not in known:
+                known[word] = stem(word)
+        return [known[word] for word in words]
+
+    return tokens.map(lambda words: stemmed(words) if words is not None else None)
 
 
 def tokens(text: Column) -> Column:

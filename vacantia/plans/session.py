@@ -1,20 +1,34 @@
-"""What long plans need of the session."""
+"""Where long plans keep what they write between steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local session may fall back to a temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; only a local session may fall back to a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="vacantia-checkpoint-")
-    context.setCheckpointDir(folder)
+    if folder is not None:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="vacantia-")
+    return _LOCAL[app]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, lineage cut, size known.
+
+    All of an application's tables are under one folder, which can go when it has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vacantia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
