@@ -270,6 +270,18 @@ def dice_grams(text: Column) -> Column:
     return F.when(present(text), grams(padded)).otherwise(F.array().cast("array<string>"))
 
 
+def packed(windows: Column) -> Column:
+    """Three-character windows as numbers, 21 bits a character: exact, a third of the size."""
+
+    def code(window: Column, place: int) -> Column:
+        return F.ascii(F.substring(window, place, 1)).cast("bigint")
+
+    return F.transform(
+        windows,
+        lambda w: F.shiftleft(code(w, 1), 42).bitwiseOR(F.shiftleft(code(w, 2), 21)).bitwiseOR(code(w, 3)),
+    )
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of two trigram sets, 0 when either is empty."""
     total = F.size(a) + F.size(b)
