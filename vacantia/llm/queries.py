@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.catalog import Catalog
-from vacantia.llm import language_id, secret_scan, sharding
+from vacantia.llm import language_id, secret_scan, sharding, simhash_dedup
 from vacantia.llm.tables import table
 
 catalog = Catalog()
@@ -16,6 +16,11 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
+@catalog.add("op2_simhash_dedup")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.components(table(spark, sf_dir, "documents"))
+
+
 @catalog.add("op3_secret_scan")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
