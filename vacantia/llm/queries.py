@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.catalog import Catalog
-from vacantia.llm import language_id, secret_scan, sharding, simhash_dedup
+from vacantia.llm import language_id, packing, secret_scan, sharding, simhash_dedup
 from vacantia.llm.tables import table
 
 catalog = Catalog()
@@ -26,6 +26,11 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+@catalog.add("op4_best_fit_packing")
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
 @catalog.add("op10_sharding")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
