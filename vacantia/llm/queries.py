@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.catalog import Catalog
-from vacantia.llm import language_id, packing, secret_scan, sharding, simhash_dedup
+from vacantia.llm import decontamination, language_id, packing, secret_scan, sharding, simhash_dedup
 from vacantia.llm.tables import table
 
 catalog = Catalog()
@@ -31,6 +31,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+@catalog.add("op5_decontamination")
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 @catalog.add("op10_sharding")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
