@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.catalog import Catalog
-from vacantia.llm import decontamination, language_id, packing, quality, secret_scan, sharding, simhash_dedup
+from vacantia.llm import decontamination, language_id, license_scan, packing, quality, secret_scan, sharding, simhash_dedup
 from vacantia.llm.tables import table
 
 catalog = Catalog()
@@ -41,6 +41,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@catalog.add("op8_license_scan")
+def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 @catalog.add("op10_sharding")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
