@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.catalog import Catalog
-from vacantia.llm import decontamination, language_id, license_scan, packing, quality, secret_scan, sharding, simhash_dedup
+from vacantia.llm import decontamination, html_extraction, language_id, license_scan, packing, quality, secret_scan, sharding, simhash_dedup
 from vacantia.llm.tables import table
 
 catalog = Catalog()
@@ -46,6 +46,11 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
 
+@catalog.add("op9_html_extraction")
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.digest(table(spark, sf_dir, "pages"))
+
+
 @catalog.add("op10_sharding")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
