@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.catalog import Catalog
-from vacantia.llm import decontamination, html_extraction, language_id, license_scan, packing, quality, secret_scan, sharding, simhash_dedup
+from vacantia.llm import decontamination, html_extraction, language_id, license_scan, packing, quality, secret_scan, sharding, simhash_dedup, token_counts
 from vacantia.llm.tables import table
 
 catalog = Catalog()
@@ -36,6 +36,11 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+@catalog.add("op6_token_counts")
+def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(table(spark, sf_dir, "documents"))
+
+
 @catalog.add("op7_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
