@@ -28,7 +28,7 @@ from vacantia.llm.tables import SLICE
 TOKENIZER = "byte_bpe_50k.tiktoken"
 RULES = ("start", "share")
 
-_SECTION = StructType.fromDDL("section int, start long, end long, n_tokens double, n_crossing long")
+_SECTION = "section int, start long, end long, n_tokens double, n_crossing long"
 
 
 def encoding(path: str) -> tiktoken.Encoding:
@@ -72,7 +72,8 @@ def attributed(ends: np.ndarray, spans: np.ndarray, rule: str) -> tuple[np.ndarr
 
 
 def _task(path: str, rule: str, by_line: bool):
-    kind = to_arrow_type(ArrayType(_SECTION))
+    returned = ArrayType(StructType.fromDDL(_SECTION))
+    kind = to_arrow_type(returned)
 
     def one(tokens: tiktoken.Encoding, lengths: np.ndarray, text: bytes, sections: list[dict | None] | None) -> list[dict]:
         ids = np.array(tokens.encode_ordinary(text.decode(errors="replace")), np.int64)
@@ -91,7 +92,7 @@ def _task(path: str, rule: str, by_line: bool):
         names = ("section", "start", "end", "n_tokens", "n_crossing")
         return [dict(zip(names, (i, *row))) for i, row in enumerate(columns)]
 
-    @F.arrow_udf(ArrayType(_SECTION))
+    @F.arrow_udf(returned)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokens = encoding(path)
         lengths = token_lengths(tokens)
