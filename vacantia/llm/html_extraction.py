@@ -41,7 +41,7 @@ _BESIDE = frozenset("nav footer aside form button select textarea label fieldset
 _MAIN = frozenset(("article", "main"))
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr img".split()
+    "strong sub sup time tt u var wbr img input".split()
 )
 # An open one of these ends where another of them begins.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
