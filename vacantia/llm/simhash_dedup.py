@@ -8,7 +8,8 @@ along, a level adds those in bits not yet compared, and a pair over the limit is
 What reaches the leaves is compared in full; nothing is missed.
 
 Every level is a pair of equi-joins on node ids. A task that compares leaves emits a spanning forest of the links
-it found, never all pairs of a group, and components come from the forests by alternating large and small stars.
+it found, never all pairs of a group. Components come from the forests, in one task while they fit it, else by
+alternating large and small stars.
 Equal texts have equal fingerprints and are one entry of the index from the start.
 """
 
@@ -33,6 +34,8 @@ LEAF = 64
 FAN = 32
 LEVELS = 3
 STRETCH = LEAF * FAN * FAN
+# Links that one task may join; more are joined by rounds of stars.
+TASK_EDGES = 500_000
 # Shingles hashed at a time, so a long text needs no more memory than this many.
 PIECE = 1 << 16
 
@@ -113,7 +116,9 @@ def index(prints: DataFrame) -> list[DataFrame]:
     while count:
         stretches = -(-count // STRETCH)
         order = gray_rank(F.col("value"))
-        laid = items.repartitionByRange(stretches, order).sortWithinPartitions(order, "id")
+        # One stretch needs no dealing, only one task of bounded size.
+        dealt = items.coalesce(1) if stretches == 1 else items.repartitionByRange(stretches, order)
+        laid = dealt.sortWithinPartitions(order, "id")
         sizes = (LEAF, FAN, 0) if first else (FAN, FAN, 0)
         nodes = written(laid.mapInArrow(_nodes_task(sizes), _NODE))
         levels += [nodes.where(F.col("level") == i) for i in range(LEVELS)]
@@ -155,34 +160,68 @@ def leaf_pairs(levels: list[DataFrame], distance: int) -> DataFrame:
     return met.join(second, F.col("b") == F.col("node")).select("left", "right", (F.col("a") == F.col("b")).alias("same"))
 
 
+class Forest:
+    """Components of what was joined so far, each named by its smallest member."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.root(x), self.root(y)
+        if p != q:
+            self.parent[max(p, q)] = min(p, q)
+
+    def edges(self) -> pa.RecordBatch:
+        """Each member but the smallest with the smallest."""
+        linked = [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
+        return pa.record_batch([pa.array([e[k] for e in linked], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
 def _links_task(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links within and between leaves, as a spanning forest of those of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (up := parent.setdefault(x, x)) != x:
-                    parent[x] = parent[up]
-                    x = up
-                return x
-
+            forest = Forest()
             left, right, same = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for i, own in enumerate(same):
                 a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
                 near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= distance
                 rows, columns = np.nonzero(np.triu(near, 1) if own else near)
                 for x, y in zip(a[rows].tolist(), b[columns].tolist()):
-                    p, q = root(x), root(y)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-            linked = [(x, r) for x in list(parent) if (r := root(x)) != x]
-            yield pa.record_batch([pa.array([e[k] for e in linked], pa.int64()) for k in (0, 1)], ["u", "v"])
+                    forest.join(x, y)
+            yield forest.edges()
 
     return run
 
 
+def _forest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = Forest()
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.join(u, v)
+    yield forest.edges()
+
+
+def roots_of(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """``u`` and the smallest node ``v`` of its component, for every node of the links but the smallest ones.
+
+    Links that fit one task (there are at most as many as linked fingerprints) are joined there; more of them are
+    joined by stars.
+    """
+    edges = written(links)
+    if edges.count() <= task_edges:
+        return edges.coalesce(1).mapInArrow(_forest_task, "u long, v long")
+    return stars(edges)
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """``u`` and the smallest node ``v`` of its component, for every node of the edges but the smallest ones.
 
@@ -216,7 +255,7 @@ def classes(documents: DataFrame, keep: dict[str, Column], text: str = "text", d
     if not levels:
         return prints.withColumn("root", F.col("bits"))
     links = leaf_pairs(levels, distance).mapInArrow(_links_task(distance), "u long, v long")
-    roots = stars(links).select(F.col("u").alias("bits"), F.col("v").alias("root"))
+    roots = roots_of(links).select(F.col("u").alias("bits"), F.col("v").alias("root"))
     return prints.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
 
 
