@@ -285,20 +285,7 @@ _PRESETS = S.values(
       ORDER BY posted_at DESC, job_id) AS rn FROM hits) x WHERE rn <= 20"""),
 )
 def landing_pages(spark, sf):
-    from functools import reduce
-
-    from pyspark.sql import Window
-
-    jobs = B.jobs(spark, sf)
-    pages = [
-        Q.page_of(jobs.filter(FI.predicate(FI.landing(slug), now())), Q.ordering("newest"))
-        .select(F.lit(slug).alias("preset"), "job_id", "posted_at")
-        for slug in D.LANDING_PRESETS
-    ]
-    # Twenty rows per preset are left, so numbering them is small.
-    window = Window.partitionBy("preset").orderBy(F.col("posted_at").desc(), "job_id")
-    rows = reduce(lambda a, b: a.unionByName(b), pages)
-    return rows.select("preset", "job_id", F.row_number().over(window).alias("place"))
+    return Q.landing_pages(B.jobs(spark, sf), list(D.LANDING_PRESETS), now()).select("preset", "job_id", "place")
 
 
 # --- full text --------------------------------------------------------------------------
@@ -339,16 +326,20 @@ def fts_index(spark, sf):
     )
 
 
-def _holds(term: str) -> str:
-    return f"EXISTS (SELECT 1 FROM places p WHERE p.job_id = s.job_id AND p.term = '{term}')"
+# All words of a job as one text with a blank around each, so words and phrases are found as they stand.
+_FT_LINES = f"""lines AS MATERIALIZED (SELECT job_id, ' ' || array_to_string(list_concat({_toks('raw_title')}, {_toks('company_name')},
+    {_toks('description')}), ' ') || ' ' AS words FROM ({_DOC_JOBS}) d)"""
+
+
+def _holds(phrase: str) -> str:
+    return f"contains(words, ' {phrase} ')"
 
 
 _FT_QUERIES = {
     "fts_match_all_words": ("backend Python", f"{_holds('backend')} AND {_holds('python')}"),
     "fts_match_phrase_or": (
         '"remote worldwide" or freelance',
-        f"""EXISTS (SELECT 1 FROM places p JOIN places q ON q.job_id = p.job_id AND q.position = p.position + 1
-            WHERE p.job_id = s.job_id AND p.term = 'remote' AND q.term = 'worldwide') OR {_holds('freelance')}""",
+        f"{_holds('remote worldwide')} OR {_holds('freelance')}",
     ),
     "fts_match_exclusion": ("engineer -senior", f"{_holds('engineer')} AND NOT {_holds('senior')}"),
 }
@@ -358,7 +349,7 @@ for _name, (_query, _where) in _FT_QUERIES.items():
         index = FT.postings(jobs, stemmed=False, only=FT.query_terms(FT.clauses(query, False)))
         return FT.match(index, query, stemmed=False).select("job_id")
 
-    catalog.add(_name, S.with_(S.POSTINGS, _FT_POSITIONS, select=f"SELECT job_id FROM split s WHERE {_where}"))(_matched)
+    catalog.add(_name, S.with_(S.POSTINGS, _FT_LINES, select=f"SELECT job_id FROM lines WHERE {_where}"))(_matched)
 
 
 @catalog.add(
@@ -366,7 +357,7 @@ for _name, (_query, _where) in _FT_QUERIES.items():
     S.with_(S.POSTINGS, _FT_POSITIONS, """numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id, term
         ORDER BY position) AS n FROM places WHERE term IN ('engineer', 'the')),
       pairs AS (SELECT a.job_id, abs(a.position - b.position) AS gap, a.weight * b.weight AS w FROM numbered a
-        JOIN numbered b ON a.job_id = b.job_id AND a.term = 'engineer' AND b.term = 'the' AND a.n <= 255 AND b.n <= 255)""",
+        JOIN numbered b ON a.job_id = b.job_id AND a.term = 'engineer' AND b.term = 'the')""",
             select="""SELECT job_id, round(1 - exp(sum(ln(1 - sqrt(w * CASE WHEN gap > 100 THEN 1e-30
         ELSE 1.0 / (1.005 + 0.05 * exp(gap / 1.5 - 2)) END)))), 6) AS rank FROM pairs GROUP BY job_id"""),
 )
@@ -382,7 +373,7 @@ def fts_rank_all_words(spark, sf):
     S.with_(S.POSTINGS, _FT_POSITIONS, """numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id, term
         ORDER BY position) AS n FROM places WHERE term IN ('backend', 'the')),
       tops AS (SELECT job_id, term, max(weight) AS top, sum(weight / (n * n)) AS total,
-        min(n) FILTER (weight = 1.0) AS first_a FROM numbered WHERE n <= 255 GROUP BY job_id, term)""",
+        min(n) FILTER (weight = 1.0) AS first_a FROM numbered GROUP BY job_id, term)""",
             select="""SELECT job_id, round(sum((top + total - top / (coalesce(first_a, 1) * coalesce(first_a, 1)))
         / (pi() * pi() / 6)) / 2, 6) AS rank FROM tops GROUP BY job_id"""),
 )

@@ -461,20 +461,21 @@ def teamtailor(spark, sf):
 
 
 _OFFICES = f"concat_ws(', ', nullif({S.trim('raw_location')}, ''), 'Porto', 'Braga')"
-_SECTIONS = f"'<h2>Tasks &amp; more</h2>' || {S.trim('doc_text')} || chr(10) || 'plain'"
+_SECTIONS = f"('<h2>Tasks & more</h2>' || {S.trim("description || ' ' || coalesce(place_kind, '')")} || chr(10) || 'plain')"
 
 
 @catalog.add(
     "src_personio",
     S.with_(S.POSTINGS, _DOCS, select=f"""SELECT {ID} AS external_id, {_TRIM} AS raw_title, {_OFFICES} AS raw_location,
       board_company AS company_name, 'https://' || source_slug || '.jobs.personio.de/job/' || doc_id || '?language=en' AS apply_url,
-      {_remote(f"{S.trim('raw_location')} || ' Porto Braga ' || coalesce(place_kind, '')")} AS remote_type, {_employment('kind')} AS employment_type, epoch,
-      length('<h2>Tasks & more</h2>' || coalesce(place_kind, '') || chr(10) || 'plain') AS text_length FROM docs"""),
+      {_remote(f"{S.trim('raw_location')} || ' Porto Braga ' || {_SECTIONS}")} AS remote_type, {_employment('kind')} AS employment_type, epoch,
+      sha256({_SECTIONS}) AS text_hash FROM docs"""),
 )
 def personio(spark, sf):
     rows = docs(spark, sf)
     section = F.concat(
-        F.lit("<jobDescription><name>Tasks &amp; more</name><value><![CDATA["), F.coalesce("place_kind", F.lit("")),
+        F.lit("<jobDescription><name>Tasks &amp; more</name><value><![CDATA["), F.col("description"), F.lit(" "),
+        F.coalesce("place_kind", F.lit("")),
         F.lit("]]></value></jobDescription><jobDescription><value>plain</value></jobDescription>"),
     )
     payload = F.concat(
@@ -487,7 +488,7 @@ def personio(spark, sf):
     out = feeds.personio(_landed(rows, payload), companies(spark, sf))
     return out.select(
         "external_id", "raw_title", "raw_location", "company_name", "apply_url", "remote_type", "employment_type",
-        F.unix_seconds("posted_at").alias("epoch"), F.length("description").cast("bigint").alias("text_length"),
+        F.unix_seconds("posted_at").alias("epoch"), F.sha2("description", 256).alias("text_hash"),
     )
 
 
@@ -519,11 +520,11 @@ def recruitee(spark, sf):
 
 @catalog.add(
     "src_rss_items",
-    S.with_(S.POSTINGS, _DOCS, select=f"""SELECT {ID} AS guid, {_TRIM} AS title, sha256({_BODY}) AS text_hash, NULL::VARCHAR AS missing
-      FROM docs WHERE doc_id % 3 <> 0"""),
+    S.with_(S.POSTINGS, _DOCS, select=f"""SELECT CASE WHEN doc_id % 3 <> 0 THEN {ID} END AS guid, {_TRIM} AS title, sha256({_BODY}) AS text_hash, NULL::VARCHAR AS missing
+      FROM docs"""),
 )
 def rss_items(spark, sf):
-    landed = _feed(docs(spark, sf).filter("doc_id % 3 <> 0"), _tag("title", _escaped("raw_title")), *_basics())
+    landed = _feed(docs(spark, sf), _tag("title", _escaped("raw_title")), *_basics())
     return feeds.rss_items(landed).select(
         feeds.rss_tag("guid").alias("guid"), feeds.rss_tag("title").alias("title"),
         F.sha2(feeds.rss_tag("description"), 256).alias("text_hash"), feeds.rss_tag("nothing").alias("missing"),

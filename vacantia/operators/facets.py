@@ -71,7 +71,7 @@ def facets(tables: Tables) -> DataFrame:
     )
     counts = from_jobs.unionByName(by_technology).unionByName(by_source)
     return (
-        counts.join(F.broadcast(labels), ["facet", "value"], "left")
+        counts.join(labels, ["facet", "value"], "left")
         .select("facet", "value", F.coalesce("label", "value").alias("label"), "count")
         .orderBy("facet", F.col("count").desc(), "value")
     )
@@ -93,7 +93,7 @@ def new_listings(tables: Tables, since: Column, now: Column, tab: str = "all") -
         F.col("is_active") & (F.col("first_discovered_at") > since) & (F.col("first_discovered_at") <= now)
     ).select("job_id", "source_slug")
     counts = recent.join(shown, "job_id", "left_semi").rollup("source_slug").agg(F.count("*").alias("count"))
-    names = F.broadcast(tables.sources.select(F.col("slug").alias("source_slug"), "display_name"))
+    names = tables.sources.select(F.col("slug").alias("source_slug"), "display_name")
     return counts.join(names, "source_slug", "left").select(
         "source_slug", F.coalesce("display_name", "source_slug").alias("display_name"), "count"
     )

@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.functions.columns import string_array
-
 # Words left out of the index.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her "
@@ -23,10 +22,8 @@ STOP_WORDS = (
     "why how all any both each few more most other some such no nor not only own same so than too very s "
     "t can will just don should now"
 ).split()
-# Weight of a label and the limits of a position list.
+# Weight of a label.
 LABEL_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
-MAX_POSITIONS = 255
-MAX_POSITION = 16383
 TOKEN = r"[\p{L}\p{N}]+"
 
 # --- stemming ---------------------------------------------------------------------------
@@ -143,19 +140,6 @@ def _ends_short(word: str) -> bool:
     return bool(re.search(r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$", word))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-
-    def stemmed(words):
-        for word in words:
-            if word not in known:
-                known[word] = stem(word)
-        return [known[word] for word in words]
-
-    return tokens.map(lambda words: stemmed(words) if words is not None else None)
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
@@ -166,40 +150,52 @@ def tokens(text: Column) -> Column:
 def postings(jobs: DataFrame, stemmed: bool = True, only: list[str] | None = None) -> DataFrame:
     """The index: one row per job and term with its ``(position, label)`` list.
 
-    Positions go on from one field to the next. ``only`` keeps the given terms, which is what a
-    query over an index that was never written needs; the filter runs before the shuffle.
+    Positions go on from one field to the next and count stop words, which are known by the word as it is written,
+    before it is stemmed. ``only`` keeps the given terms, which is what a query over an index that was never written
+    needs. All words of a job are in one row, so they are grouped there and nothing is shuffled.
     """
     fields = [("title", "A"), ("normalized_title", "A"), ("description_text", "C")]
-    out = jobs.select("job_id", *[tokens(F.col(c)).alias(f"t{i}") for i, (c, _) in enumerate(fields)])
-    if stemmed:
-        out = out.withColumns({f"t{i}": _stems(F.col(f"t{i}")) for i in range(len(fields))})
-    stop = string_array(STOP_WORDS if stemmed else [])
-    offset, parts = F.lit(0), []
-    for i, (_, label) in enumerate(fields):
-        part = _labelled(F.col(f"t{i}"), offset, label)
-        parts.append(part)
-        offset = offset + F.size(f"t{i}")
-    words = F.concat(*parts)
-    keep = string_array(only) if only is not None else None
-    words = F.filter(
-        words,
-        lambda w: (F.array_contains(keep, w["term"]) if keep is not None else F.lit(True))
-        & ~F.array_contains(stop, w["term"]),
-    )
-    return (
-        out.select("job_id", F.explode(words).alias("w"))
-        .groupBy("job_id", F.col("w.term").alias("term"))
-        .agg(F.sort_array(F.collect_list(F.struct("w.position", "w.label"))).alias("positions"))
-    )
+    out = jobs.select("job_id", *[tokens(F.col(c)).alias(c) for c, _ in fields])
+    # Where each field's positions end.
+    ends = [sum((F.size(c) for c, _ in fields[:i]), F.size(fields[i][0])).alias(f"end{i}") for i in range(len(fields))]
+    places = _places(F.concat(*[c for c, _ in fields]), stemmed, only)
+    rows = out.select("job_id", *ends, places.alias("places"))
+    rows = rows.select("job_id", *[f"end{i}" for i in range(len(fields))], F.explode("places").alias("term", "at"))
 
+    def labelled(position: Column) -> Column:
+        label = F.lit(fields[-1][1])
+        for i in reversed(range(len(fields) - 1)):
+            label = F.when(position <= F.col(f"end{i}"), F.lit(fields[i][1])).otherwise(label)
+        return F.struct(position.alias("position"), label.alias("label"))
+
+    return rows.select("job_id", "term", F.transform("at", labelled).alias("positions"))
 
-def _labelled(words: Column, offset: Column, label: str) -> Column:
-    return F.transform(
-        words,
-        lambda t, n: F.struct(
-            t.alias("term"), (n + 1 + offset).alias("position"), F.lit(label).alias("label")
-        ),
-    )
+
+def _places(words: Column, stemmed: bool, only: list[str] | None) -> Column:
+    """Map of each term of a list of words to its places there, from 1 and in order."""
+    wanted, stop = None if only is None else frozenset(only), frozenset(STOP_WORDS if stemmed else ())
+
+    @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+    def grouped(lists: pd.Series) -> pd.Series:
+        known: dict[str, str | None] = {}
+
+        def term_of(word: str) -> str | None:
+            if word not in known:
+                term = None if word in stop else stem(word) if stemmed else word
+                known[word] = term if wanted is None or term in wanted else None
+            return known[word]
+
+        def one(list_of_words) -> dict[str, list[int]]:
+            places: dict[str, list[int]] = {}
+            for place, word in enumerate(list_of_words, start=1):
+                term = term_of(word)
+                if term is not None:
+                    places.setdefault(term, []).append(place)
+            return places
+
+        return lists.map(one)
+
+    return grouped(words)
 
 
 # --- query ------------------------------------------------------------------------------
@@ -207,10 +203,13 @@ def _labelled(words: Column, offset: Column, label: str) -> Column:
 
 @dataclass
 class Clause:
-    """One alternative of a query: phrases that must and must not occur."""
+    """One alternative of a query: phrases that must and must not occur.
+
+    A phrase is its terms, each with its place among the phrase's words; stop words are no terms but keep their place.
+    """
 
-    wanted: list[list[str]] = field(default_factory=list)
-    unwanted: list[list[str]] = field(default_factory=list)
+    wanted: list[list[tuple[int, str]]] = field(default_factory=list)
+    unwanted: list[list[tuple[int, str]]] = field(default_factory=list)
 
 
 def clauses(query: str, stemmed: bool = True) -> list[Clause]:
@@ -220,16 +219,16 @@ def clauses(query: str, stemmed: bool = True) -> list[Clause]:
         if not minus and word.lower() == "or":
             out.append(Clause())
             continue
-        terms = re.findall(r"[^\W_]+", (phrase or word).lower())
+        terms = list(enumerate(re.findall(r"[^\W_]+", (phrase or word).lower())))
         if stemmed:
-            terms = [stem(t) for t in terms if t not in STOP_WORDS]
+            terms = [(at, stem(t)) for at, t in terms if t not in STOP_WORDS]
         if terms:
             (out[-1].unwanted if minus else out[-1].wanted).append(terms)
     return [c for c in out if c.wanted or c.unwanted]
 
 
 def query_terms(parsed: list[Clause]) -> list[str]:
-    seen = [t for c in parsed for ts in [*c.wanted, *c.unwanted] for t in ts]
+    seen = [t for c in parsed for ts in [*c.wanted, *c.unwanted] for _, t in ts]
     return list(dict.fromkeys(seen))
 
 
@@ -242,13 +241,13 @@ def _occurrences(term: str) -> Column:
     return F.coalesce(found, empty)
 
 
-def _phrase_occurs(terms: list[str]) -> Column:
-    """Every term one place after the one before it."""
-    starts = _occurrences(terms[0])
-    for step, term in enumerate(terms[1:], start=1):
-        shifted = F.transform(_occurrences(term), lambda p: p - F.lit(step))
-        starts = F.array_intersect(starts, shifted)
-    return F.size(starts) > 0
+def _phrase_occurs(terms: list[tuple[int, str]]) -> Column:
+    """Every term at its place in the phrase, counted from one start."""
+
+    def starts(place: int, term: str) -> Column:
+        return F.transform(_occurrences(term), lambda p: p - F.lit(place))
+
+    return F.size(reduce(F.array_intersect, [starts(place, term) for place, term in terms])) > 0
 
 
 def _clause_holds(clause: Clause) -> Column:
@@ -285,18 +284,14 @@ def match(index: DataFrame, query: str, stemmed: bool = True, jobs: DataFrame |
 
 
 def _weights(term: str) -> Column:
-    """``(position, weight)`` pairs of a term, as many as a position list holds."""
+    """``(position, weight)`` pairs of a term, all of them."""
     weights = F.create_map(*[F.lit(x) for kv in LABEL_WEIGHTS.items() for x in kv])
     pairs = F.coalesce(
         F.try_element_at("terms", F.lit(term)),
         F.expr("CAST(array() AS array<struct<position:int,label:string>>)"),
     )
     return F.transform(
-        F.slice(pairs, 1, MAX_POSITIONS),
-        lambda p: F.struct(
-            F.least(p["position"], F.lit(MAX_POSITION)).alias("position"),
-            F.try_element_at(weights, p["label"]).alias("weight"),
-        ),
+        pairs, lambda p: F.struct(p["position"].alias("position"), F.try_element_at(weights, p["label"]).alias("weight"))
     )
 
 

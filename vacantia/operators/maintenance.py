@@ -56,11 +56,9 @@ def known_ids(captured: DataFrame, listings: DataFrame, parser_version: int | No
     return listings.select(*LISTING).unionByName(at_version).distinct()
 
 
-def split_known(discovered: DataFrame, known: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Discovered ids as ``(seen and known, new)``; the number of new ones is the fetch limit's."""
-    seen = discovered.join(known, LISTING, "left_semi")
-    new = discovered.join(known, LISTING, "left_anti")
-    return seen, new if limit is None else new.orderBy("place", *LISTING).limit(limit)
+def split_known(discovered: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Discovered ids as ``(seen and known, new)``."""
+    return discovered.join(known, LISTING, "left_semi"), discovered.join(known, LISTING, "left_anti")
 
 
 def status_rows(outcomes: DataFrame, now: Column) -> DataFrame:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.operators import filters, fulltext
 from vacantia.operators.filters import SearchParams
 
-# Page sizes.
+# Fixed value: the page size where none is asked for.
 DEFAULT_PAGE_SIZE = 20
-MAX_PAGE_SIZE = 100
 
 
 @dataclass(frozen=True)
@@ -62,8 +61,8 @@ def ordering(sort: str, has_query: bool = False) -> list[Column]:
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One page: a bounded top-k per partition, merged; never a full sort."""
-    size = min(MAX_PAGE_SIZE, max(1, page_size))
+    """One page of the size asked for: a top-k per partition, merged; never a full sort."""
+    size = max(1, page_size)
     return rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
 
 
@@ -72,13 +71,13 @@ def first_sources(listings: DataFrame, sources: DataFrame) -> DataFrame:
     first = listings.groupBy("job_id").agg(
         F.min_by("source_slug", F.struct("first_discovered_at", "source_slug")).alias("source_slug")
     )
-    named = F.broadcast(sources.select(F.col("slug").alias("source_slug"), F.col("display_name").alias("source_name")))
+    named = sources.select(F.col("slug").alias("source_slug"), F.col("display_name").alias("source_name"))
     return first.join(named, "source_slug")
 
 
 def technology_lists(job_technologies: DataFrame, technologies: DataFrame) -> DataFrame:
     """Technologies per job as a sorted array of ``(slug, name)``."""
-    named = F.broadcast(technologies.select(F.col("slug").alias("technology"), "display_name"))
+    named = technologies.select(F.col("slug").alias("technology"), "display_name")
     return (
         job_technologies.join(named, "technology")
         .groupBy("job_id")
@@ -89,14 +88,14 @@ def technology_lists(job_technologies: DataFrame, technologies: DataFrame) -> Da
 def with_details(page: DataFrame, tables: Tables) -> DataFrame:
     """Company, first source and technologies of the jobs of one page.
 
-    A page holds at most a hundred rows, so its ids are broadcast into the large tables.
+    A page's size is the caller's, so Spark chooses by measured size how its ids meet the large tables.
     """
-    ids = F.broadcast(page.select("job_id"))
+    ids = page.select("job_id")
     listed = first_sources(tables.listings.join(ids, "job_id", "left_semi"), tables.sources)
     tech = technology_lists(tables.job_technologies.join(ids, "job_id", "left_semi"), tables.technologies)
     company = tables.companies.select(
         F.col("slug").alias("company_slug"), F.col("name").alias("company_name"), "website_url"
-    ).join(F.broadcast(page.select("company_slug").distinct()), "company_slug", "left_semi")
+    ).join(page.select("company_slug").distinct(), "company_slug", "left_semi")
     none = F.expr("CAST(array() AS array<struct<technology:string,display_name:string>>)")
     return (
         page.join(company, "company_slug")
@@ -124,9 +123,24 @@ def search(tables: Tables, params: SearchParams, now: Column) -> DataFrame:
     return with_details(page, tables).withColumn("total_count", total)
 
 
+def landing_pages(jobs: DataFrame, presets: list[str], now: Column, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The newest jobs of every preset with their ``place``, in one scan: a job goes to each preset it satisfies.
+
+    Spark keeps the first ``size`` rows of a preset in each partition before it shuffles.
+    """
+    fits = [F.when(filters.predicate(filters.landing(slug), now), F.lit(slug)) for slug in presets]
+    rows = jobs.select("*", F.explode(F.array_compact(F.array(*fits))).alias("preset"))
+    place = F.row_number().over(Window.partitionBy("preset").orderBy(*ordering("newest")))
+    return rows.withColumn("place", place).filter(F.col("place") <= size)
+
+
 def company_page(tables: Tables, slug: str, params: SearchParams, now: Column) -> DataFrame:
-    """A company's profile columns on each of its matching jobs."""
-    return search(tables, replace(params, company_slug=slug), now)
+    """A company's profile with each of its matching jobs, one row without a job where none matches."""
+    profile = tables.companies.filter(F.col("slug") == slug).select(
+        F.col("slug").alias("company_slug"), F.col("name").alias("company_name"), "website_url"
+    )
+    jobs = search(tables, replace(params, company_slug=slug), now).drop("company_name", "website_url")
+    return profile.join(jobs, "company_slug", "left")
 
 
 def job_detail(tables: Tables, ids: DataFrame) -> DataFrame:
@@ -137,7 +151,7 @@ def job_detail(tables: Tables, ids: DataFrame) -> DataFrame:
     """
     jobs = tables.jobs.join(ids, "job_id", "left_semi")
     keys = jobs.select("job_id")
-    names = F.broadcast(tables.sources.select(F.col("slug").alias("source_slug"), F.col("display_name").alias("source_name")))
+    names = tables.sources.select(F.col("slug").alias("source_slug"), F.col("display_name").alias("source_name"))
     listed = (
         tables.listings.filter("is_active")
         .join(keys, "job_id", "left_semi")

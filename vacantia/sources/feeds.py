@@ -185,7 +185,7 @@ def personio(landed: DataFrame, companies: DataFrame, language: str = "en") -> D
         rows.withColumn("raw_payload", F.to_json("job")), "personio",
         external_id=F.col("ident"), source_url=url, apply_url=url, raw_title=trimmed(job("name")),
         raw_location=listed(F.col("offices")), company_name=F.col("company_name"), company_url=F.col("company_url"),
-        remote_type=remote_type(F.concat_ws(" ", F.array_join("offices", " "), F.substring("text", 1, 1000))),
+        remote_type=remote_type(F.concat_ws(" ", F.array_join("offices", " "), "text")),
         employment_type=structured_employment_type(
             F.concat_ws(" ", F.coalesce(job("employmentType"), F.lit("")), F.coalesce(job("schedule"), F.lit("")))
         ),

@@ -222,15 +222,21 @@ def _decoded(text: Column) -> Column:
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(x[0-9a-f]+|[0-9]+);"), F.lit(1)))
 
     def character(code: Column) -> Column:
+        """The character a reference names; null where there is none."""
         hexadecimal = F.lower(code).startswith("x")
-        number = F.when(hexadecimal, F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("int")
+        digits = F.regexp_replace(F.when(hexadecimal, F.substring(code, 2, 2**30)).otherwise(code), "^0+(?=.)", "")
+        # Ten digits are more than any code point has in either base.
+        decimal = F.when(F.length(digits) <= 10, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits))
+        number = decimal.try_cast("int")
+        real = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         # Spark's chr() knows Latin-1 only; four big-endian bytes say any code point.
-        wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return wide
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
-    out = F.aggregate(
-        codes, text, lambda acc, code: F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), character(code))
-    )
+    def replaced(acc: Column, code: Column) -> Column:
+        reference = F.concat(F.lit("&#"), code, F.lit(";"))
+        return F.replace(acc, reference, F.coalesce(character(code), reference))
+
+    out = F.aggregate(codes, text, replaced)
     for name, plain in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")]:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(plain))
     return collapsed(F.regexp_replace(out, "<[^>]*>", " "))

@@ -78,7 +78,9 @@ def _searching(find, only_first: bool):
                 found = find(json.loads(block))
             except (ValueError, RecursionError):
                 continue
-            out += [json.dumps(p, ensure_ascii=False, separators=(",", ":")) for p in found]
+            texts = [json.dumps(p, ensure_ascii=False, separators=(",", ":")) for p in found]
+            # JSON may name half a character, which no text can hold.
+            out += [t.encode(errors="replace").decode() for t in texts]
             if out and only_first:
                 break
         return out
