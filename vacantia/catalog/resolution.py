@@ -19,17 +19,13 @@ from vacantia.plans.tables import SCHEMAS
 catalog = Catalog()
 
 
-def _profiled(spark, sf):
-    """On-topic postings as both sides: each meets the ones that came before it."""
+def _sides(spark, sf):
+    """On-topic postings as both sides: each meets the ones that came before it. Profiles are written once."""
     rows = P.classify(B.raw_postings(spark, sf)).withColumns(
         {"company_key": F.lower("company_name"), "born": R.after_all(F.col("doc_id"))}
     )
-    return R.with_profile(rows).select("doc_id", "company_key", "born", *R.PROFILE)
-
-
-def _sides(spark, sf):
-    rows = _profiled(spark, sf)
-    return rows, rows.withColumn("job_id", F.col("doc_id")).drop("doc_id")
+    rows = written(R.with_profile(rows).select("doc_id", "company_key", "born", "grams", *R.PROFILE))
+    return rows, rows.withColumnRenamed("doc_id", "job_id").withColumn("since", F.col("job_id"))
 
 
 _PROFILES = f"""named AS MATERIALIZED (SELECT t.doc_id, lower(t.company_name) AS company_key,
@@ -66,7 +62,7 @@ _PAIR_CTES = (*CC._GEO_CTES, CC._VERDICT, CC._TITLES, _PROFILES, _CANDIDATES)
 )
 def dedup_candidates(spark, sf):
     postings, leaders = _sides(spark, sf)
-    return R.candidate_pairs(postings, leaders).select(
+    return R.candidate_pairs(postings.drop("grams"), leaders).select(
         "doc_id", "job_id", "place", F.round("title_similarity", 9).alias("similarity")
     )
 
@@ -78,14 +74,14 @@ def dedup_candidates(spark, sf):
 )
 def best_candidates(spark, sf):
     postings, leaders = _sides(spark, sf)
-    return R.candidate_pairs(postings, leaders).groupBy("doc_id").agg(
+    return R.candidate_pairs(postings.drop("grams"), leaders).groupBy("doc_id").agg(
         F.count("*").alias("candidates"), F.min_by("job_id", "place").alias("first_job")
     )
 
 
 def _scored(spark, sf):
     postings, leaders = _sides(spark, sf)
-    return R.with_score(R.with_job_profile(R.candidate_pairs(postings, leaders), leaders))
+    return R.scored_pairs(postings, leaders, "doc_id")
 
 
 @catalog.add(
@@ -95,7 +91,7 @@ def _scored(spark, sf):
 )
 def location_rules(spark, sf):
     postings, leaders = _sides(spark, sf)
-    pairs = R.with_job_profile(R.candidate_pairs(postings, leaders), leaders)
+    pairs = R.profile_pairs(postings, leaders, "doc_id")
     return pairs.select(
         "doc_id", "job_id", R.is_vetoed().cast("int").alias("vetoed"), R.is_compatible().cast("int").alias("compatible")
     )
@@ -117,7 +113,8 @@ def pair_scores(spark, sf):
       CASE WHEN score >= 70 THEN job_id END AS job_id, coalesce(score, 0) AS score, n AS vetoed FROM best WHERE rn = 1"""),
 )
 def best_match(spark, sf):
-    return R.decide(_scored(spark, sf), "doc_id").select(
+    postings, leaders = _sides(spark, sf)
+    return R.match(postings, leaders, "doc_id").select(
         "doc_id", "action", "job_id", "score", F.size("vetoed").cast("bigint").alias("vetoed")
     )
 
