@@ -168,9 +168,22 @@ def run_stats(outcomes: DataFrame, seen_known: DataFrame | None = None) -> DataF
     )
 
 
-def ingestion_runs(outcomes: DataFrame, seen_known: DataFrame | None = None) -> DataFrame:
-    """Run statistics with their error samples."""
-    return run_stats(outcomes, seen_known).join(error_samples(outcomes), "run_id", "left")
+def ingestion_runs(
+    outcomes: DataFrame, seen_known: DataFrame | None = None, started: DataFrame | None = None,
+    started_at: Column | None = None,
+) -> DataFrame:
+    """Run statistics with their error samples.
+
+    ``started`` (``run_id, source_slug``) has all runs that began at ``started_at``: one that brought nothing has a row
+    too, and its success counts for the sweep.
+    """
+    stats = run_stats(outcomes, seen_known)
+    if started is not None:
+        idle = started.select("run_id", "source_slug").distinct().join(stats.select("run_id"), "run_id", "left_anti")
+        blank = {c: F.lit(0).cast(t) for c, t in stats.dtypes if t == "bigint"}
+        times = {"started_at": started_at, "finished_at": started_at, "status": F.lit("SUCCESS")}
+        stats = stats.unionByName(idle.withColumns(blank | times).select(*stats.columns))
+    return stats.join(error_samples(outcomes), "run_id", "left")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OWNED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,12 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def written(df: DataFrame) -> DataFrame:
+def _application_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables; it goes when the session's JVM ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/vacantia-{app}"
+    if app not in _OWNED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWNED.add(app)
+    return folder
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, lineage cut, size known.
 
-    All of an application's tables are under one folder, which can go when it has ended.
+    ``by`` lays it out in a folder per value of those columns. All of an application's tables are under one folder, which
+    is removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vacantia-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,20 @@
-"""Canonical tables as versioned Parquet snapshots.
+"""Canonical tables as versions of Parquet folders behind one manifest each.
 
-A write makes a new version folder; a version counts once its ``_SUCCESS`` file is there. No
-plan ever overwrites a path it reads, and a lost writer leaves the last whole version in place.
+A version writes folders of its own and, last of all, a manifest that names the folders of every table as of that
+version. Readers go through a manifest only, so they never see a version in part: a lost writer leaves the last whole
+version in place, and no plan overwrites a path it reads.
+
+Tables that grow by appending list one more folder per version; runs of small ones are merged now and then. The others
+are divided by a hash of their key into buckets, and a version writes the buckets it touches and names the old folders
+of the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "raw_postings": (
@@ -20,6 +28,7 @@ SCHEMAS = {
         "source_slug string, external_id string, checksum string, status string, error string, "
         "logged_at timestamp, sequence bigint"
     ),
+    "captures": "source_slug string, external_id string, checksum string, status string, error string",
     "jobs": (
         "job_id string, title string, normalized_title string, role_category string, seniority string, "
         "tags array<string>, company_slug string, description string, description_text string, "
@@ -43,50 +52,113 @@ SCHEMAS = {
         "error_sample array<struct<message:string,external_id:string>>"
     ),
 }
-# Grown by appending; the others are rewritten as snapshots.
-APPENDED = {"raw_postings", "status_log", "runs"}
+# Grown by appending.
+APPENDED = ("raw_postings", "status_log", "runs")
+# Divided into buckets by these columns.
+KEYS = {
+    "captures": ("source_slug", "external_id"),
+    "listings": ("source_slug", "external_id"),
+    "jobs": ("job_id",),
+    "companies": ("slug",),
+}
+# Buckets of a table; a root keeps the number it began with.
+BUCKETS = 64
+# So many single folders of an appended table are merged into one.
+MERGED = 32
 
 
 class Tables:
     """Read and write the tables under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+
+    # --- manifests ---
 
-    def _folder(self, name: str):
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self, name: str) -> list[int]:
-        """Whole versions of a table, oldest first."""
-        fs, path = self._folder(name)
-        if not fs.exists(path):
-            return []
-        found = []
-        for status in fs.listStatus(path):
-            folder = status.getPath()
-            mark = self.spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-            if folder.getName().startswith("v=") and fs.exists(mark):
-                found.append(int(folder.getName()[2:]))
-        return sorted(found)
-
-    def read(self, name: str, before: int | None = None) -> DataFrame:
-        """The table as of its last version, or its last one before the given number."""
-        schema = SCHEMAS[name]
-        versions = [v for v in self.versions(name) if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        wanted = versions if name in APPENDED else versions[-1:]
-        paths = [f"{self.root}/{name}/v={v}" for v in wanted]
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def write(self, name: str, frame: DataFrame, version: int) -> None:
-        """Write a version; the same number again replaces that version only."""
+    def versions(self) -> list[int]:
+        """Whole versions, oldest first."""
+        fs, path = self._path("manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != "_")
+
+    def manifest(self, before: int | None = None) -> dict:
+        """The folders of every table as of the last version (before the given number)."""
+        wanted = [v for v in self.versions() if before is None or v < before]
+        if not wanted:
+            return {"buckets": self._buckets, "tables": {}}
+        text = self.spark.read.option("wholetext", True).text(f"{self.root}/manifests/{wanted[-1]}.json").first()[0]
+        return json.loads(text)
+
+    def publish(self, version: int, written: dict[str, list[str] | dict[str, str]]) -> None:
+        """Make a version whole: ``written`` has its new folders, by bucket for tables that have buckets."""
+        manifest = self.manifest(version)
+        for name, folders in written.items():
+            old = manifest["tables"].get(name)
+            if name in APPENDED:
+                manifest["tables"][name] = self._merged(name, [*(old or []), *folders], version)
+            else:
+                manifest["tables"][name] = (old or {}) | folders
+        # Written beside and renamed, so a manifest is there as a whole or not at all.
+        fs, beside = self._path(f"manifests/_{version}.json")
+        out = fs.create(beside, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        _, path = self._path(f"manifests/{version}.json")
+        fs.delete(path, False)
+        if not fs.rename(beside, path):
+            raise OSError(f"manifest {version} could not be put in place")
+
+    def _merged(self, name: str, folders: list[str], version: int) -> list[str]:
+        """Merge single folders once there are ``MERGED`` of them; raw payloads stay by source as they are."""
+        single = [f for f in folders if not f.endswith("-merged")]
+        if name == "raw_postings" or len(single) < MERGED:
+            return folders
+        target = f"{name}/v={version}-merged"
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in single])
+        rows.coalesce(1 + len(single) // MERGED).write.mode("overwrite").parquet(f"{self.root}/{target}")
+        return [*[f for f in folders if f.endswith("-merged")], target]
+
+    # --- tables ---
+
+    def bucket_of(self, name: str, manifest: dict | None = None) -> Column:
+        number = (manifest or self.manifest())["buckets"]
+        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in KEYS[name]]), F.lit(number)).cast("int")
+
+    def touched(self, name: str, keys: DataFrame) -> list[int]:
+        """The buckets of some keys: at most as many numbers as there are buckets."""
+        found = keys.select(self.bucket_of(name).alias("bucket")).distinct().collect()
+        return sorted(r["bucket"] for r in found)
+
+    def read(self, name: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The table as of the last whole version (before the given number), or only some of its buckets."""
+        folders = self.manifest(before)["tables"].get(name, [])
+        if name not in APPENDED:
+            folders = [f for b, f in dict(folders).items() if buckets is None or int(b) in buckets]
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def write(self, name: str, frame: DataFrame, version: int) -> list[str] | dict[str, str]:
+        """Write a version's rows, for ``publish``; the same version again replaces its own folder only.
+
+        A table with buckets must be given all rows of each bucket that any row is in.
+        """
         columns = [f"CAST({c.split()[0]} AS {' '.join(c.split()[1:])}) AS {c.split()[0]}" for c in _fields(SCHEMAS[name])]
-        writer = frame.selectExpr(*columns).write.mode("overwrite")
-        if name == "raw_postings":
-            writer = writer.partitionBy("source_slug")
-        writer.parquet(f"{self.root}/{name}/v={version}")
+        folder = f"{name}/v={version}"
+        rows = frame.selectExpr(*columns)
+        if name in APPENDED:
+            by = ["source_slug"] if name == "raw_postings" else []
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{folder}")
+            return [folder]
+        dealt = rows.withColumn("bucket", self.bucket_of(name)).repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        fs, path = self._path(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return {n[len("bucket=") :]: f"{folder}/{n}" for n in names if n.startswith("bucket=")}
 
 
 def _fields(schema: str) -> list[str]:
