@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.catalog import Catalog
-from vacantia.llm import decontamination, html_extraction, language_id, license_scan, packing, quality, secret_scan, sharding, simhash_dedup, token_counts
+from vacantia.llm import (
+    check_sql,
+    decontamination,
+    html_extraction,
+    language_id,
+    license_scan,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    simhash_dedup,
+    token_counts,
+)
 from vacantia.llm.tables import table
 
 catalog = Catalog()
@@ -21,7 +33,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(table(spark, sf_dir, "documents"))
 
 
-@catalog.add("op3_secret_scan")
+@catalog.add("op3_secret_scan", check_sql.secrets())
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -46,7 +58,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@catalog.add("op8_license_scan")
+@catalog.add("op8_license_scan", check_sql.licenses())
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
