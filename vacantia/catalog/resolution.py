@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from vacantia.operators import resolve as R
 from vacantia.plans import binding as B
 from vacantia.plans import classify as P
 from vacantia.plans import ingest as I
-from vacantia.plans.session import written
+from vacantia.plans import seed as SD
+from vacantia.plans.session import shared_folder, written
 from vacantia.plans.tables import SCHEMAS
 
 catalog = Catalog()
@@ -307,6 +310,23 @@ def known_ids(spark, sf):
     return seen.select("doc_id", F.lit("known").alias("side")).unionByName(new.select("doc_id", F.lit("new").alias("side")))
 
 
+@catalog.add(
+    "joi_known_ids_version",
+    S.with_(S.POSTINGS, _CAPTURED, f"""known AS (SELECT DISTINCT source_slug, external_id FROM captured
+        WHERE status = 'MERGED_DUPLICATE' OR (status IN ({_TERMINAL}) AND doc_id % 4 = 2))""",
+            select="""SELECT p.doc_id, CASE WHEN k.external_id IS NOT NULL THEN 'known' ELSE 'new' END AS side
+      FROM postings p LEFT JOIN known k ON k.source_slug = p.source_slug AND k.external_id = p.external_id"""),
+)
+def known_ids_version(spark, sf):
+    """Listed ids are known whatever their parser, others if the second version parsed them."""
+    found = B.raw_postings(spark, sf).select("doc_id", "source_slug", "external_id")
+    version = F.to_json(F.struct((F.col("doc_id") % 4).alias("parserVersion")))
+    captured = _captured(spark, sf).withColumn("raw_payload", version)
+    known = M.known_ids(captured, captured.filter("status = 'MERGED_DUPLICATE'"), 2)
+    seen, new = M.split_known(found, known)
+    return seen.select("doc_id", F.lit("known").alias("side")).unionByName(new.select("doc_id", F.lit("new").alias("side")))
+
+
 @catalog.add(
     "snk_raw_capture",
     S.with_(S.POSTINGS, select="SELECT source_slug, external_id, sha256(raw_payload) AS checksum, 'PENDING' AS status FROM postings"),
@@ -499,7 +519,9 @@ def sweep_jobs(spark, sf):
 )
 def vocabulary_use(spark, sf):
     """The seeded role vocabulary with the number of postings that use each entry."""
+    root = f"{shared_folder(spark)}/vocabularies-{uuid.uuid4().hex}"
+    SD.seed(spark, root)
     used = C.with_role(B.raw_postings(spark, sf)).groupBy(F.col("role_category").alias("slug")).agg(F.count("*").alias("n"))
-    return B.role_categories(spark).join(used, "slug", "left").select(
+    return SD.seeded(spark, root, "role_categories").join(used, "slug", "left").select(
         "slug", "label", F.coalesce("n", F.lit(0)).alias("postings")
     )
