@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,11 +33,11 @@ TASK_ITEMS = 200_000
 MERGE = 8
 LEAST_GAIN = 0.002
 # Words whose ids a task remembers before it starts to remember anew.
-REMEMBERED = 300_000
-# Letters that lower-case to letters of the same list and never combine; then characters that are no letter, digit
-# or apostrophe. The tokenizer cuts between the two.
+REMEMBERED = 500_000
+# Letters that lower-case to letters of the same list and never combine, and characters that are no letter, digit or
+# apostrophe: the tokenizer cuts between the two.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD = re.compile(rf"[{_LETTERS}]+")
 
 
@@ -44,55 +45,70 @@ class Encoder:
     """Ids of texts by a tokenizer that never looks across white space, as little-endian unsigned 32-bit numbers.
 
     Texts are encoded whole: the tokenizer turns white space into word breaks and encodes word by word, so a word's
-    ids are the same in every text and are asked from the tokenizer once.
+    ids are the same in every text and are asked from the tokenizer once. Most words are letters and then perhaps
+    punctuation; both parts are words of their own to the tokenizer, so those are asked once too.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.parts: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn_cores(self, cores: list[str]) -> None:
-        """Ids of words of letters alone: one call for all, cut where the tokenizer counts a new word."""
-        found = self.tokenizer.encode(" ".join(cores), add_special_tokens=False)
+    def _lettered(self, cores: list[bytes]) -> list[bytes]:
+        """Ids of lower-case words of letters: one call for all, cut where the tokenizer counts a new word."""
+        found = self.tokenizer.encode(b" ".join(cores).decode(), add_special_tokens=False)
         words, ids = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4")
-        cuts = np.searchsorted(words, np.arange(len(cores) + 1))
         if len(cores) != (words[-1] + 1 if len(words) else 0):
             raise ValueError("the tokenizer does not take a word of letters as one word")
-        for core, a, b in zip(cores, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.cores[core] = ids[a:b].tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        plain: list[tuple[bytes, str, str]] = []
+        cuts = np.searchsorted(words, np.arange(len(cores) + 1)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _ascii(self, core: bytes) -> bytes:
+        """Ids of a lower-case word of ASCII letters, which all steps before the model leave as it is."""
+        ids = [token.id for token in self.model.tokenize(core.decode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, text: bytes) -> bytes:
+        if text not in self.parts:
+            self.parts[text] = self._encoded([text])[0] if text else b""
+        return self.parts[text]
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, parts = self.words, self.parts
+        lettered: dict[bytes, bytes] = {}
         odd: list[bytes] = []
         for word in words:
-            match = _PLAIN.fullmatch(word.decode(errors="replace"))
-            core = match[1].lower() if match else ""
-            if match and _WORD.fullmatch(core):
-                plain.append((word, core, match[2]))
+            core = word.rstrip(_TAIL)
+            if core.isalpha():
+                low = core.lower()
+                ids = parts.get(low)
+                if ids is None:
+                    ids = parts[low] = self._ascii(low)
+                known[word] = ids + self._part(word[len(core) :])
+            elif core and _WORD.fullmatch(low := core.decode(errors="replace").lower()):
+                lettered[word] = low.encode()
             else:
                 odd.append(word)
-        cores = {c for _, c, _ in plain if c not in self.cores}
-        if cores:
-            self._learn_cores(sorted(cores))
-        if tails := sorted({t for _, _, t in plain if t not in self.cores}):
-            self.cores.update(zip(tails, self._encode(tails)))
-        self.words.update((w, self.cores[c] + self.cores[t]) for w, c, t in plain)
+        if new := list(set(lettered.values()) - parts.keys()):
+            parts.update(zip(new, self._lettered(new)))
+        for word, low in lettered.items():
+            known[word] = parts[low] + self._part(word[len(word.rstrip(_TAIL)) :])
         if odd:
-            self.words.update(zip(odd, self._encode([w.decode(errors="replace") for w in odd])))
+            known.update(zip(odd, self._encoded(odd)))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        distinct = set().union(*split)
         if len(self.words) > REMEMBERED:
-            self.words, self.cores = {}, {"": b""}
-        self._learn(distinct - self.words.keys())
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            self.words, self.parts = {}, {}
+        known = self.words
+        self._learn([word for word in set().union(*split) if word not in known])
+        return [b"".join([known[word] for word in words]) for words in split]
 
 
 def _pieces_task(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
