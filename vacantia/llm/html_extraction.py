@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.tables import per_text
-from vacantia.plans.session import written
 
 # Tokens that make a run long.
 RUN = 12
@@ -165,26 +164,25 @@ def _parse() -> Callable[[list[bytes | None]], list[dict]]:
 
 
 def parsed(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """One pass over the pages, written once: ``record`` (columns to keep), ``row`` number, ``host``, ``copy`` (pages
-    with the same copy number are copies of one page), the certain ``body`` blocks and the ``rest`` with its states."""
+    """``record`` (columns to keep), ``row`` (rows with the same number are repeated rows), ``host``, ``copy`` (pages with
+    the same copy number are copies of one page), the certain ``body`` blocks and the ``rest`` with its states."""
     blocks = per_text(_parse, "blocks array<struct<text:string,state:int>>")(F.col("html"))["blocks"]
     # A null url has no host; such pages are taken as one site.
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     found = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("record"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in keep], "url", "html").alias("row"),
         host.alias("host"),
         F.xxhash64("html").alias("copy"),
         blocks.alias("blocks"),
     )
-    return written(
-        found.select(
-            "record",
-            F.monotonically_increasing_id().alias("row"),
-            "host",
-            "copy",
-            F.transform(F.filter("blocks", lambda b: b["state"] == SURE), lambda b: b["text"]).alias("body"),
-            F.filter("blocks", lambda b: b["state"] != SURE).alias("rest"),
-        )
+    return found.select(
+        "record",
+        "row",
+        "host",
+        "copy",
+        F.transform(F.filter("blocks", lambda b: b["state"] == SURE), lambda b: b["text"]).alias("body"),
+        F.filter("blocks", lambda b: b["state"] != SURE).alias("rest"),
     )
 
 
@@ -249,6 +247,9 @@ def _host_task(run: int, share: float) -> Callable[[pa.Table], pa.Table]:
         numbers: dict[str, int] = {}
         pages: dict[int, int] = {}
         tokens, page, sizes = [], [], []
+        # Repeated rows are copies in the same part: the answer for one is the answer for all.
+        once = {row: at for at, row in reversed(list(enumerate(rows)))}
+        rows, copies, blocks = ([x[at] for at in sorted(once.values())] for x in (rows, copies, blocks))
         for copy, own in zip(copies, blocks):
             stream = [numbers.setdefault(w, len(numbers)) for words in own for w in words]
             tokens += stream
@@ -270,7 +271,8 @@ def without_boilerplate(found: DataFrame, run: int = RUN, share: float = COVERED
     hosts = streams.groupBy("host").agg(parts)
     # Copies go to one part, where they count as one page.
     part = F.pmod(F.xxhash64("copy"), F.col("parts")).alias("part")
-    dealt = streams.join(hosts, "host").select("row", "host", part, "copy", "rest")
+    # Dealt by both, as what is dealt by host alone would do for the grouping and bring a large host's parts together.
+    dealt = streams.join(hosts, "host").select("row", "host", part, "copy", "rest").repartition("host", "part")
     return dealt.groupBy("host", "part").applyInArrow(_host_task(run, share), "row long, unique array<string>")
 
 
@@ -279,6 +281,7 @@ def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     A null or empty page, and a page of nothing but boilerplate, has an empty text. Repeated rows give a row each.
     """
+    # Parsed for the streams and again for the texts: cheaper than keeping all texts on disk between the two.
     found = parsed(pages, keep)
     left = without_boilerplate(found)
     both = found.select("record", "row", "body", F.col("rest.state").alias("states")).join(left, "row", "left")
