@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import filters, fulltext
 from vacantia.operators.filters import SearchParams
+from vacantia.plans.session import written
 
 # Fixed value: the page size where none is asked for.
 DEFAULT_PAGE_SIZE = 20
@@ -117,9 +118,14 @@ def search(tables: Tables, params: SearchParams, now: Column) -> DataFrame:
     them into one partition. A page beyond the end has no rows, hence no total.
     """
     found = matching_jobs(tables, params, now)
-    order = ordering(params.sort, bool(params.q and params.q.strip()))
-    page = page_of(found, order, params.page, params.page_size)
-    total = search_total(tables, params, now).scalar()
+    has_query = bool(params.q and params.q.strip())
+    if has_query:
+        # Words are matched and ranked once, for the page and for the total.
+        hits = written(found.select("job_id", "rank"))
+        found, total = tables.jobs.join(hits, "job_id"), hits.agg(F.count("*").alias("total")).scalar()
+    else:
+        total = search_total(tables, params, now).scalar()
+    page = page_of(found, ordering(params.sort, has_query), params.page, params.page_size)
     return with_details(page, tables).withColumn("total_count", total)
 
 

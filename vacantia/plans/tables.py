@@ -45,6 +45,7 @@ SCHEMAS = {
         "last_seen_at timestamp, is_active boolean"
     ),
     "companies": "slug string, name string, website_url string",
+    "fts_index": "job_id string, term string, positions array<struct<position:int,label:string>>",
     "runs": (
         "run_id string, source_slug string, started_at timestamp, finished_at timestamp, fetched bigint, "
         "eligible bigint, rejected_geography bigint, rejected_role bigint, created bigint, updated bigint, "
@@ -52,8 +53,8 @@ SCHEMAS = {
         "error_sample array<struct<message:string,external_id:string>>"
     ),
 }
-# Grown by appending.
-APPENDED = ("raw_postings", "status_log", "runs")
+# Grown by appending; a job's words never change, so the index of full text only gets those of new jobs.
+APPENDED = ("raw_postings", "status_log", "runs", "fts_index")
 # Divided into buckets by these columns.
 KEYS = {
     "captures": ("source_slug", "external_id"),
@@ -119,7 +120,8 @@ class Tables:
             return folders
         target = f"{name}/v={version}-merged"
         rows = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in single])
-        rows.coalesce(1 + len(single) // MERGED).write.mode("overwrite").parquet(f"{self.root}/{target}")
+        rows = _by_term(rows) if name == "fts_index" else rows.coalesce(1 + len(single) // MERGED)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{target}")
         return [*[f for f in folders if f.endswith("-merged")], target]
 
     # --- tables ---
@@ -152,6 +154,7 @@ class Tables:
         rows = frame.selectExpr(*columns)
         if name in APPENDED:
             by = ["source_slug"] if name == "raw_postings" else []
+            rows = _by_term(rows) if name == "fts_index" else rows
             rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{folder}")
             return [folder]
         dealt = rows.withColumn("bucket", self.bucket_of(name)).repartition("bucket")
@@ -161,6 +164,11 @@ class Tables:
         return {n[len("bucket=") :]: f"{folder}/{n}" for n in names if n.startswith("bucket=")}
 
 
+def _by_term(index: DataFrame) -> DataFrame:
+    """Terms in order, so that a query's words are found by the files' own statistics."""
+    return index.repartitionByRange("term", "job_id").sortWithinPartitions("term", "job_id")
+
+
 def _fields(schema: str) -> list[str]:
     """Split a schema text at its outer commas."""
     out, depth, field = [], 0, ""

@@ -43,11 +43,6 @@ def _in_graph(value) -> list[dict]:
     return own + _in_graph(value.get("@graph"))
 
 
-def _on_top(value) -> list[dict]:
-    """The block itself, if it is a posting."""
-    return [value] if isinstance(value, dict) and value.get("@type") == "JobPosting" else []
-
-
 def _first_in_graph(value) -> list[dict]:
     """The first posting among array elements and ``@graph`` members."""
     if isinstance(value, list):
@@ -93,10 +88,16 @@ def _searching(find, only_first: bool):
 
 
 _all_in_graph = _searching(_in_graph, False)
-_one_on_top = _searching(_on_top, True)
 _one_in_graph = _searching(_first_in_graph, True)
 _one_anywhere = _searching(_first_anywhere, True)
 
+
+
+def _one_on_top(blocks: Column) -> Column:
+    """The first block that is a posting itself, as the page has it."""
+    return F.slice(F.filter(blocks, lambda b: F.get_json_object(b, "$['@type']") == "JobPosting"), 1, 1)
+
+
 _POSTING = (
     "title string, description string, url string, datePosted string, employmentType string, "
     "jobLocationType string, identifier string, hiringOrganization struct<name:string,sameAs:string,url:string>, "
