@@ -265,7 +265,8 @@ def components(documents: DataFrame) -> DataFrame:
     Rows without an id link others but lend no id; a class of such rows alone has none.
     """
     rows = written(classes(documents, {"doc_id": F.col("doc_id")}))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # A table of its own, so that a join with a large class can be split.
+    least = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     hexadecimal = F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint")
     return rows.join(least, "root").select("doc_id", hexadecimal, "component_id")
 
