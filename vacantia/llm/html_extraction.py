@@ -7,8 +7,9 @@ site's boilerplate. Blocks that such runs cover lose them and keep only their ow
 undecided is then checked by the markup (menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are never main text), and text beside an article is not part of it.
 
-A host with more tokens than a task should hold is divided by a hash of the page into parts of thousands of pages
-each; boilerplate of a site is in all of them. Article text never moves: only undecided text is shuffled.
+A host with more undecided tokens than a task should hold is divided by a hash of the page into parts of many pages
+each (about a thousand where pages have articles, some fifty where all text is undecided); boilerplate of a site is in
+all of them. Only undecided text goes to the arrays; article text waits for what they leave of its page.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.tables import per_text
+from vacantia.plans.session import written
 
 # Tokens that make a run long.
 RUN = 12
 # A block is boilerplate if repeated runs cover this share of its tokens.
 COVERED = 0.5
 # Undecided tokens of a host that one task sorts.
-PART_TOKENS = 1 << 17
+PART_TOKENS = 1 << 15
 
 # Elements whose content is no text of the page.
 _SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
@@ -265,7 +267,8 @@ def _host_task(run: int, share: float) -> Callable[[pa.Table], pa.Table]:
 
 def without_boilerplate(found: DataFrame, run: int = RUN, share: float = COVERED) -> DataFrame:
     """``row`` and ``unique``: what the host's suffix array leaves of each undecided block, empty for none."""
-    streams = found.where(F.size("rest") > 0).select("row", "host", "copy", "rest")
+    # Written, as it is small beside the pages and read for the hosts' sizes and for their arrays.
+    streams = written(found.where(F.size("rest") > 0).select("row", "host", "copy", "rest"))
     tokens = F.aggregate("rest", F.lit(0), lambda n, b: n + F.size(F.split(b["text"], " ")))
     parts = F.ceil(F.sum(tokens) / PART_TOKENS).alias("parts")
     hosts = streams.groupBy("host").agg(parts)
