@@ -22,12 +22,12 @@ from vacantia.plans.tables import SCHEMAS
 catalog = Catalog()
 
 
-def _sides(spark, sf):
+def _sides(spark, sf, *wide):
     """On-topic postings as both sides: each meets the ones that came before it. Profiles are written once."""
     rows = P.classify(B.raw_postings(spark, sf)).withColumns(
         {"company_key": F.lower("company_name"), "born": R.after_all(F.col("doc_id"))}
     )
-    rows = written(R.with_profile(rows).select("doc_id", "company_key", "born", "grams", *R.PROFILE))
+    rows = written(R.with_profile(rows).select("doc_id", "company_key", "born", *wide, *R.PROFILE))
     return rows, rows.withColumnRenamed("doc_id", "job_id").withColumn("since", F.col("job_id"))
 
 
@@ -65,7 +65,7 @@ _PAIR_CTES = (*CC._GEO_CTES, CC._VERDICT, CC._TITLES, _PROFILES, _CANDIDATES)
 )
 def dedup_candidates(spark, sf):
     postings, leaders = _sides(spark, sf)
-    return R.candidate_pairs(postings.drop("grams"), leaders).select(
+    return R.candidate_pairs(postings, leaders).select(
         "doc_id", "job_id", "place", F.round("title_similarity", 9).alias("similarity")
     )
 
@@ -77,13 +77,13 @@ def dedup_candidates(spark, sf):
 )
 def best_candidates(spark, sf):
     postings, leaders = _sides(spark, sf)
-    return R.candidate_pairs(postings.drop("grams"), leaders).groupBy("doc_id").agg(
+    return R.candidate_pairs(postings, leaders).groupBy("doc_id").agg(
         F.count("*").alias("candidates"), F.min_by("job_id", "place").alias("first_job")
     )
 
 
 def _scored(spark, sf):
-    postings, leaders = _sides(spark, sf)
+    postings, leaders = _sides(spark, sf, "grams")
     return R.scored_pairs(postings, leaders, "doc_id")
 
 
@@ -116,15 +116,17 @@ def pair_scores(spark, sf):
       CASE WHEN score >= 70 THEN job_id END AS job_id, coalesce(score, 0) AS score, n AS vetoed FROM best WHERE rn = 1"""),
 )
 def best_match(spark, sf):
-    postings, leaders = _sides(spark, sf)
+    postings, leaders = _sides(spark, sf, "grams")
     return R.match(postings, leaders, "doc_id").select(
         "doc_id", "action", "job_id", "score", F.size("vetoed").cast("bigint").alias("vetoed")
     )
 
 
 def _resolved(spark, sf):
-    pending = P.classify(B.raw_postings(spark, sf)).filter("status = 'PENDING'").withColumn(
-        "ordinal", F.col("doc_id")
+    # What resolution reads; the other derived fields are not computed.
+    pending = P.classify(B.raw_postings(spark, sf)).filter("status = 'PENDING'").select(
+        "doc_id", F.col("doc_id").alias("ordinal"), *M.LISTING, "company_name", "company_slug", "normalized_title", "apply_url",
+        "description_text", "eligible_countries", "eligible_regions",
     )
     empty = {name: spark.createDataFrame([], SCHEMAS[name]) for name in ("jobs", "companies", "listings")}
     now = F.timestamp_seconds(F.lit(B.NOW_EPOCH))

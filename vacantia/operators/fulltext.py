@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.functions.columns import string_array
+
 # Words left out of the index.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her "
@@ -140,6 +142,19 @@ def _ends_short(word: str) -> bool:
     return bool(re.search(r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$", word))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(tokens: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+
+    def stemmed(words):
+        for word in words:
+            if word not in known:
+                known[word] = stem(word)
+        return [known[word] for word in words]
+
+    return tokens.map(lambda words: stemmed(words) if words is not None else None)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
@@ -152,50 +167,39 @@ def postings(jobs: DataFrame, stemmed: bool = True, only: list[str] | None = Non
 
     Positions go on from one field to the next and count stop words, which are known by the word as it is written,
     before it is stemmed. ``only`` keeps the given terms, which is what a query over an index that was never written
-    needs. All words of a job are in one row, so they are grouped there and nothing is shuffled.
+    needs; the filter runs before the shuffle.
     """
     fields = [("title", "A"), ("normalized_title", "A"), ("description_text", "C")]
-    out = jobs.select("job_id", *[tokens(F.col(c)).alias(c) for c, _ in fields])
-    # Where each field's positions end.
-    ends = [sum((F.size(c) for c, _ in fields[:i]), F.size(fields[i][0])).alias(f"end{i}") for i in range(len(fields))]
-    places = _places(F.concat(*[c for c, _ in fields]), stemmed, only)
-    rows = out.select("job_id", *ends, places.alias("places"))
-    rows = rows.select("job_id", *[f"end{i}" for i in range(len(fields))], F.explode("places").alias("term", "at"))
-
-    def labelled(position: Column) -> Column:
-        label = F.lit(fields[-1][1])
-        for i in reversed(range(len(fields) - 1)):
-            label = F.when(position <= F.col(f"end{i}"), F.lit(fields[i][1])).otherwise(label)
-        return F.struct(position.alias("position"), label.alias("label"))
-
-    return rows.select("job_id", "term", F.transform("at", labelled).alias("positions"))
-
-
-def _places(words: Column, stemmed: bool, only: list[str] | None) -> Column:
-    """Map of each term of a list of words to its places there, from 1 and in order."""
-    wanted, stop = None if only is None else frozenset(only), frozenset(STOP_WORDS if stemmed else ())
-
-    @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
-    def grouped(lists: pd.Series) -> pd.Series:
-        known: dict[str, str | None] = {}
-
-        def term_of(word: str) -> str | None:
-            if word not in known:
-                term = None if word in stop else stem(word) if stemmed else word
-                known[word] = term if wanted is None or term in wanted else None
-            return known[word]
-
-        def one(list_of_words) -> dict[str, list[int]]:
-            places: dict[str, list[int]] = {}
-            for place, word in enumerate(list_of_words, start=1):
-                term = term_of(word)
-                if term is not None:
-                    places.setdefault(term, []).append(place)
-            return places
+    out = jobs.select("job_id", *[tokens(F.col(c)).alias(f"t{i}") for i, (c, _) in enumerate(fields)])
+    if stemmed:
+        out = out.withColumns({f"s{i}": _stems(F.col(f"t{i}")) for i in range(len(fields))})
+    stop = string_array(STOP_WORDS if stemmed else [])
+    offset, parts = F.lit(0), []
+    for i, (_, label) in enumerate(fields):
+        pairs = F.zip_with(f"t{i}", f"s{i}" if stemmed else f"t{i}", lambda word, term: F.struct(word.alias("word"), term.alias("term")))
+        parts.append(_labelled(pairs, offset, label))
+        offset = offset + F.size(f"t{i}")
+    words = F.concat(*parts)
+    keep = string_array(only) if only is not None else None
+    words = F.filter(
+        words,
+        lambda w: (F.array_contains(keep, w["term"]) if keep is not None else F.lit(True))
+        & ~F.array_contains(stop, w["word"]),
+    )
+    return (
+        out.select("job_id", F.explode(words).alias("w"))
+        .groupBy("job_id", F.col("w.term").alias("term"))
+        .agg(F.sort_array(F.collect_list(F.struct("w.position", "w.label"))).alias("positions"))
+    )
 
-        return lists.map(one)
 
-    return grouped(words)
+def _labelled(words: Column, offset: Column, label: str) -> Column:
+    return F.transform(
+        words,
+        lambda w, n: F.struct(
+            w["word"].alias("word"), w["term"].alias("term"), (n + 1 + offset).alias("position"), F.lit(label).alias("label")
+        ),
+    )
 
 
 # --- query ------------------------------------------------------------------------------
