@@ -7,16 +7,16 @@ site's boilerplate. Blocks that such runs cover lose them and keep only their ow
 undecided is then checked by the markup (menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are never main text), and text beside an article is not part of it.
 
-A host with more undecided tokens than a task should hold is divided by a hash of the page into parts of many pages
-each (about a thousand where pages have articles, some fifty where all text is undecided); boilerplate of a site is in
-all of them. Only undecided text goes to the arrays; article text waits for what they leave of its page.
+No host is ever one task. Equal runs have neighbouring suffixes, so suffixes are dealt by host and the name of their
+run, and equal runs meet whatever the size of the host. Article text waits for what they leave of its page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,9 @@ from vacantia.plans.session import written
 RUN = 12
 # A block is boilerplate if repeated runs cover this share of its tokens.
 COVERED = 0.5
-# Undecided tokens of a host that one task sorts.
+# Tokens whose runs a task names at a time, and different words and pages it remembers.
 PART_TOKENS = 1 << 15
+KEPT = 1 << 20
 
 # Elements whose content is no text of the page.
 _SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
@@ -167,7 +168,7 @@ def _parse() -> Callable[[list[bytes | None]], list[dict]]:
 
 def parsed(pages: DataFrame, keep: list[str]) -> DataFrame:
     """``record`` (columns to keep), ``row`` (rows with the same number are repeated rows), ``host``, ``copy`` (pages with
-    the same copy number are copies of one page), the certain ``body`` blocks and the ``rest`` with its states."""
+    the same copy number are copies of one page of a host), the certain ``body`` blocks and the ``rest`` with its states."""
     blocks = per_text(_parse, "blocks array<struct<text:string,state:int>>")(F.col("html"))["blocks"]
     # A null url has no host; such pages are taken as one site.
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -175,7 +176,7 @@ def parsed(pages: DataFrame, keep: list[str]) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("record"),
         F.xxhash64(*[F.col(f"`{c}`") for c in keep], "url", "html").alias("row"),
         host.alias("host"),
-        F.xxhash64("html").alias("copy"),
+        F.xxhash64(host, "html").alias("copy"),
         blocks.alias("blocks"),
     )
     return found.select(
@@ -193,7 +194,8 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray
 
     ``tokens`` are numbers of the concatenated streams, ``page`` the number of each token's page. Suffixes are
     ranked by one token, then two, four, ... until the rank decides ``run`` tokens; suffixes of equal rank are
-    neighbours in the suffix array, and their run is repeated if their pages differ.
+    neighbours in the suffix array, and their run is repeated if their pages differ. It is what ``repeated_places``
+    must find over all tasks, for streams that one task can hold.
     """
     count = len(tokens)
     if count < run:
@@ -242,41 +244,97 @@ def unique_runs(blocks: list[list[str]], run: int = RUN, share: float = COVERED)
     return kept
 
 
-def _host_task(run: int, share: float) -> Callable[[pa.Table], pa.Table]:
-    def one(table: pa.Table) -> pa.Table:
-        rows, copies = table["row"].to_pylist(), table["copy"].to_pylist()
-        blocks = [[b["text"].split() for b in rest] for rest in table["rest"].to_pylist()]
+def _number(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def run_names(tokens: list[str], host: str, numbers: dict[str, int], run: int = RUN) -> np.ndarray:
+    """64 bits for the run of ``run`` tokens at each place of a stream; runs of different hosts have different names."""
+    count = len(tokens) - run + 1
+    if count < 1:
+        return np.empty(0, np.int64)
+    if len(numbers) > KEPT:
+        numbers.clear()
+    for word in (host, *tokens):
+        if word not in numbers:
+            numbers[word] = _number(word)
+    values = np.fromiter((numbers[w] for w in tokens), np.uint64, len(tokens))
+    names = np.full(count, numbers[host], np.uint64)
+    for at in range(run):
+        names = names * np.uint64(0x9E3779B97F4A7C15) + values[at : at + count]
+        names ^= names >> np.uint64(29)
+    return names.view(np.int64)
+
+
+def _run_task(run: int, piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, int] = {}
-        pages: dict[int, int] = {}
-        tokens, page, sizes = [], [], []
-        # Repeated rows are copies in the same part: the answer for one is the answer for all.
-        once = {row: at for at, row in reversed(list(enumerate(rows)))}
-        rows, copies, blocks = ([x[at] for at in sorted(once.values())] for x in (rows, copies, blocks))
-        for copy, own in zip(copies, blocks):
-            stream = [numbers.setdefault(w, len(numbers)) for words in own for w in words]
-            tokens += stream
-            page += [pages.setdefault(copy, len(pages))] * len(stream)
-            sizes.append(len(stream))
-        covered = repeated(np.array(tokens, np.int64), np.array(page, np.int64), run)
-        ends = np.cumsum(sizes).tolist()
-        kept = [unique_runs(own, run, share)(covered[e - n : e]) for own, n, e in zip(blocks, sizes, ends)]
-        return pa.table({"row": pa.array(rows, pa.int64()), "unique": pa.array(kept, pa.list_(pa.string()))})
-
-    return one
-
-
-def without_boilerplate(found: DataFrame, run: int = RUN, share: float = COVERED) -> DataFrame:
-    """``row`` and ``unique``: what the host's suffix array leaves of each undecided block, empty for none."""
-    # Written, as it is small beside the pages and read for the hosts' sizes and for their arrays.
-    streams = written(found.where(F.size("rest") > 0).select("row", "host", "copy", "rest"))
-    tokens = F.aggregate("rest", F.lit(0), lambda n, b: n + F.size(F.split(b["text"], " ")))
-    parts = F.ceil(F.sum(tokens) / PART_TOKENS).alias("parts")
-    hosts = streams.groupBy("host").agg(parts)
-    # Copies go to one part, where they count as one page.
-    part = F.pmod(F.xxhash64("copy"), F.col("parts")).alias("part")
-    # Dealt by both, as what is dealt by host alone would do for the grouping and bring a large host's parts together.
-    dealt = streams.join(hosts, "host").select("row", "host", part, "copy", "rest").repartition("host", "part")
-    return dealt.groupBy("host", "part").applyInArrow(_host_task(run, share), "row long, unique array<string>")
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*held)]
+            held.clear()
+            return pa.record_batch(columns, ["name", "copy", "at"])
+
+        for batch in batches:
+            hosts, copies, streams = (batch.column(c) for c in ("host", "copy", "rest"))
+            for host, copy, rest in zip(hosts, copies, streams):
+                copy = copy.as_py()
+                # Copies of a page have the same runs; one of them is enough.
+                if copy in seen:
+                    continue
+                if len(seen) >= KEPT:
+                    seen.clear()
+                seen.add(copy)
+                words = [w for b in rest.as_py() for w in b["text"].split()]
+                for at in range(0, len(words), piece):
+                    own = run_names(words[at : at + piece + run - 1], host.as_py(), numbers, run)
+                    held.append((own, np.full(len(own), copy, np.int64), np.arange(at, at + len(own), dtype=np.int32)))
+                    if sum(len(x[0]) for x in held) >= piece:
+                        yield out()
+        if held:
+            yield out()
+
+    return task
+
+
+def covered(starts: list[int], count: int, run: int = RUN) -> np.ndarray:
+    """Which of ``count`` tokens lie in a run that begins at one of the places."""
+    edges = np.zeros(count + 1, np.int64)
+    np.add.at(edges, np.array(starts, np.int64), 1)
+    np.add.at(edges, np.array(starts, np.int64) + run, -1)
+    return np.cumsum(edges)[:count] > 0
+
+
+def _left(run: int, share: float) -> Callable:
+    @F.arrow_udf("array<string>")
+    def left(rest: pa.Array, starts: pa.Array) -> pa.Array:
+        out = []
+        for blocks, places in zip(rest.to_pylist(), starts.to_pylist()):
+            if not places:
+                out.append([b["text"] for b in blocks])
+                continue
+            words = [b["text"].split() for b in blocks]
+            out.append(unique_runs(words, run, share)(covered(places, sum(map(len, words)), run)))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return left
+
+
+def repeated_places(found: DataFrame, run: int = RUN) -> DataFrame:
+    """``copy`` and ``starts``: where runs begin in its stream that are on another page of the host too.
+
+    Suffixes are dealt by host and the name of their run, so equal runs meet however large the host is. Only the
+    least and the greatest copy number of a run decide, which are taken before anything is dealt: neither a run on
+    all pages nor a page with many copies makes a large group.
+    """
+    runs = found.where(F.size("rest") > 0).select("host", "copy", "rest").mapInArrow(_run_task(run, PART_TOKENS), "name long, copy long, at int")
+    ends = runs.groupBy("name").agg(F.min("copy").alias("least"), F.max("copy").alias("greatest"))
+    shared = written(ends.where("least != greatest").select("name"))
+    # Copies of a page give the same places.
+    places = runs.join(shared, "name").select("copy", "at").distinct()
+    return places.groupBy("copy").agg(F.collect_list("at").alias("starts"))
 
 
 def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -284,12 +342,13 @@ def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     A null or empty page, and a page of nothing but boilerplate, has an empty text. Repeated rows give a row each.
     """
-    # Parsed for the streams and again for the texts: cheaper than keeping all texts on disk between the two.
+    # Parsed anew wherever texts are read: cheaper than keeping all texts on disk between the passes.
     found = parsed(pages, keep)
-    left = without_boilerplate(found)
-    both = found.select("record", "row", "body", F.col("rest.state").alias("states")).join(left, "row", "left")
+    places = found.select("row", "copy").distinct().join(repeated_places(found), "copy").select("row", "starts")
+    both = found.select("record", "row", "body", "rest").join(places, "row", "left")
+    both = both.select("record", "body", F.col("rest.state").alias("states"), _left(RUN, COVERED)("rest", "starts").alias("unique"))
     # The check by markup: of the unique runs only those outside menus and the like, and only without an article.
-    pairs = F.arrays_zip(F.coalesce("unique", F.array().cast("array<string>")).alias("text"), F.col("states").alias("state"))
+    pairs = F.arrays_zip(F.col("unique").alias("text"), F.col("states").alias("state"))
     loose = F.transform(F.filter(pairs, lambda p: (p["state"] == UNDECIDED) & (p["text"] != "")), lambda p: p["text"])
     text = F.array_join(F.when(F.size("body") > 0, F.col("body")).otherwise(loose), "\n\n")
     kept = [F.col(f"record.`{c}`").alias(c) for c in keep]
