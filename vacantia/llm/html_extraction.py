@@ -1,14 +1,14 @@
 """Main text of web pages with a suffix array per host.
 
-A page becomes a stream of text blocks. Text inside an article or main element is the main text for certain; all
-other text is undecided. The undecided token streams of a host's pages are concatenated, their suffixes sorted, and
-neighbours in that order that begin alike show the long token runs that occur on two different pages or more: the
-site's boilerplate. Blocks that such runs cover lose them and keep only their own unique runs. What remains
-undecided is then checked by the markup (menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments are never main text), and text beside an article is not part of it.
+A page becomes a stream of text blocks. The token streams of a host's pages are concatenated, their suffixes sorted,
+and neighbours in that order that begin alike show the long token runs that occur on two different pages or more: the
+site's boilerplate. Blocks that such runs cover lose them and keep only their own unique runs. Text inside an article
+or main element is the main text unless many pages have the run, as some pages quote each other; and an article that
+such runs cover for the most part is a near copy of others, which stays whole. What remains is then checked by the
+markup: menus, headers, footers, sidebars, notices, adverts, forms and reader comments are never main text.
 
 No host is ever one task. Equal runs have neighbouring suffixes, so suffixes are dealt by host and the name of their
-run, and equal runs meet whatever the size of the host. Article text waits for what they leave of its page.
+run, and equal runs meet whatever the size of the host.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from vacantia.plans.session import written
 RUN = 12
 # A block is boilerplate if repeated runs cover this share of its tokens.
 COVERED = 0.5
+# Pages of a host that make a run boilerplate inside an article too.
+MANY = 5
 # Tokens whose runs a task names at a time, and different words and pages it remembers.
 PART_TOKENS = 1 << 15
 KEPT = 1 << 20
@@ -168,25 +170,17 @@ def _parse() -> Callable[[list[bytes | None]], list[dict]]:
 
 def parsed(pages: DataFrame, keep: list[str]) -> DataFrame:
     """``record`` (columns to keep), ``row`` (rows with the same number are repeated rows), ``host``, ``copy`` (pages with
-    the same copy number are copies of one page of a host), the certain ``body`` blocks and the ``rest`` with its states."""
+    the same copy number are copies of one page of a host), and the ``blocks`` with their states in order."""
     blocks = per_text(_parse, "blocks array<struct<text:string,state:int>>")(F.col("html"))["blocks"]
     # A null url has no host; such pages are taken as one site.
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    found = pages.select(
+    return pages.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("record"),
         F.xxhash64(*[F.col(f"`{c}`") for c in keep], "url", "html").alias("row"),
         host.alias("host"),
         F.xxhash64(host, "html").alias("copy"),
         blocks.alias("blocks"),
     )
-    return found.select(
-        "record",
-        "row",
-        "host",
-        "copy",
-        F.transform(F.filter("blocks", lambda b: b["state"] == SURE), lambda b: b["text"]).alias("body"),
-        F.filter("blocks", lambda b: b["state"] != SURE).alias("rest"),
-    )
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -278,8 +272,8 @@ def _run_task(run: int, piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             return pa.record_batch(columns, ["name", "copy", "at"])
 
         for batch in batches:
-            hosts, copies, streams = (batch.column(c) for c in ("host", "copy", "rest"))
-            for host, copy, rest in zip(hosts, copies, streams):
+            hosts, copies, streams = (batch.column(c) for c in ("host", "copy", "blocks"))
+            for host, copy, blocks in zip(hosts, copies, streams):
                 copy = copy.as_py()
                 # Copies of a page have the same runs; one of them is enough.
                 if copy in seen:
@@ -287,7 +281,7 @@ def _run_task(run: int, piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 if len(seen) >= KEPT:
                     seen.clear()
                 seen.add(copy)
-                words = [w for b in rest.as_py() for w in b["text"].split()]
+                words = [w for b in blocks.as_py() for w in b["text"].split()]
                 for at in range(0, len(words), piece):
                     own = run_names(words[at : at + piece + run - 1], host.as_py(), numbers, run)
                     held.append((own, np.full(len(own), copy, np.int64), np.arange(at, at + len(own), dtype=np.int32)))
@@ -307,34 +301,47 @@ def covered(starts: list[int], count: int, run: int = RUN) -> np.ndarray:
     return np.cumsum(edges)[:count] > 0
 
 
-def _left(run: int, share: float) -> Callable:
-    @F.arrow_udf("array<string>")
-    def left(rest: pa.Array, starts: pa.Array) -> pa.Array:
-        out = []
-        for blocks, places in zip(rest.to_pylist(), starts.to_pylist()):
-            if not places:
-                out.append([b["text"] for b in blocks])
-                continue
-            words = [b["text"].split() for b in blocks]
-            out.append(unique_runs(words, run, share)(covered(places, sum(map(len, words)), run)))
-        return pa.array(out, pa.list_(pa.string()))
-
-    return left
-
+def _main(run: int, share: float) -> Callable:
+    """A column function of ``blocks`` and ``places``: the page's main text."""
 
-def repeated_places(found: DataFrame, run: int = RUN) -> DataFrame:
-    """``copy`` and ``starts``: where runs begin in its stream that are on another page of the host too.
+    @F.arrow_udf("string")
+    def main(blocks: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for own, met in zip(blocks.to_pylist(), places.to_pylist()):
+            left = [b["text"] for b in own]
+            if met:
+                words = [x.split() for x in left]
+                sizes = [len(x) for x in words]
+                hits = covered([m["at"] for m in met], sum(sizes), run)
+                often = covered([m["at"] for m in met if m["often"]], sum(sizes), run)
+                sure = np.repeat([b["state"] == SURE for b in own], sizes)
+                # An article that is repeated as a whole is a copy with few changes, not a part of the site.
+                if often[sure].sum() >= share * sure.sum():
+                    often[:] = False
+                left = unique_runs(words, run, share)(np.where(sure, often, hits))
+            # The check by markup.
+            out.append("\n\n".join(x for x, b in zip(left, own) if x and b["state"] != BESIDE))
+        return pa.array(out, pa.string())
+
+    return main
+
+
+def repeated_places(found: DataFrame, run: int = RUN, many: int = MANY) -> DataFrame:
+    """``copy`` and ``places``: where runs begin in its stream that are on another page of the host too, and whether
+    ``many`` pages have them.
 
     Suffixes are dealt by host and the name of their run, so equal runs meet however large the host is. Only the
     least and the greatest copy number of a run decide, which are taken before anything is dealt: neither a run on
-    all pages nor a page with many copies makes a large group.
+    all pages nor a page with many copies makes a large group. Pages are counted for the repeated runs alone.
     """
-    runs = found.where(F.size("rest") > 0).select("host", "copy", "rest").mapInArrow(_run_task(run, PART_TOKENS), "name long, copy long, at int")
+    streams = found.where(F.size("blocks") > 0).select("host", "copy", "blocks")
+    runs = streams.mapInArrow(_run_task(run, PART_TOKENS), "name long, copy long, at int")
     ends = runs.groupBy("name").agg(F.min("copy").alias("least"), F.max("copy").alias("greatest"))
     shared = written(ends.where("least != greatest").select("name"))
     # Copies of a page give the same places.
-    places = runs.join(shared, "name").select("copy", "at").distinct()
-    return places.groupBy("copy").agg(F.collect_list("at").alias("starts"))
+    met = written(runs.join(shared, "name").distinct())
+    often = met.groupBy("name").agg((F.count_distinct("copy") >= many).alias("often"))
+    return met.join(often, "name").groupBy("copy").agg(F.collect_list(F.struct("at", "often")).alias("places"))
 
 
 def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -344,15 +351,10 @@ def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
     """
     # Parsed anew wherever texts are read: cheaper than keeping all texts on disk between the passes.
     found = parsed(pages, keep)
-    places = found.select("row", "copy").distinct().join(repeated_places(found), "copy").select("row", "starts")
-    both = found.select("record", "row", "body", "rest").join(places, "row", "left")
-    both = both.select("record", "body", F.col("rest.state").alias("states"), _left(RUN, COVERED)("rest", "starts").alias("unique"))
-    # The check by markup: of the unique runs only those outside menus and the like, and only without an article.
-    pairs = F.arrays_zip(F.col("unique").alias("text"), F.col("states").alias("state"))
-    loose = F.transform(F.filter(pairs, lambda p: (p["state"] == UNDECIDED) & (p["text"] != "")), lambda p: p["text"])
-    text = F.array_join(F.when(F.size("body") > 0, F.col("body")).otherwise(loose), "\n\n")
+    places = found.select("row", "copy").distinct().join(repeated_places(found), "copy").select("row", "places")
+    both = found.select("record", "row", "blocks").join(places, "row", "left")
     kept = [F.col(f"record.`{c}`").alias(c) for c in keep]
-    return both.select(*kept, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return both.select(*kept, _main(RUN, COVERED)("blocks", "places").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def digest(pages: DataFrame) -> DataFrame:
