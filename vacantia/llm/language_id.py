@@ -10,6 +10,7 @@ points fit into 63 bits, so an n-gram is one exact number and counting is sortin
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,13 @@ PIECE = 1 << 20
 UNKNOWN = "und"
 # A text this far from all languages is in none of them (see ``accepted``).
 LEAST_SCORE = 0.1
+# So is one that does not reach this share of what is usual for learnt texts of its language and length.
+USUAL_SHARE = 0.5
+# Words of a learnt text's beginnings that tell what is usual, and steps in which their scores are counted.
+BEGINNINGS = (1, 4, 16, 64, 256)
+STEPS = 1000
+# Lengths of a text's list of n-grams by powers of two.
+CLASSES = PROFILE.bit_length() + 1
 
 _BLANK = 32
 _BITS = 21
@@ -150,21 +158,68 @@ def learn(labelled: DataFrame) -> Profiles:
     return Profiles.of({language: [g for _, g in sorted(v)] for language, v in ranked.items()})
 
 
+def top_of(codes: np.ndarray) -> np.ndarray:
+    """A text's own list of n-grams, empty for a text without a letter."""
+    return most_frequent(*counted(codes)) if len(codes) > 2 else np.empty(0, np.int64)
+
+
 def identified(text: Column, profiles: Profiles) -> Column:
-    """``struct<lang_pred, score>`` of a text: ``und`` and 0 for null, empty or without a letter."""
+    """``struct<lang_pred, score, size>`` of a text: ``und`` and 0 for null, empty or without a letter; ``size`` is the
+    length class of its list of n-grams."""
 
     def make() -> Callable[[list[bytes | None]], list[dict]]:
         letters = letter_table()
 
         def one(text: bytes | None) -> dict:
-            codes = words((text or b"").decode(errors="replace"), letters)
-            top = most_frequent(*counted(codes)) if len(codes) > 2 else np.empty(0, np.int64)
+            top = top_of(words((text or b"").decode(errors="replace"), letters))
             language, score = profiles.nearest(top)
-            return {"lang_pred": language, "score": score}
+            return {"lang_pred": language, "score": score, "size": len(top).bit_length()}
 
         return lambda texts: [one(t) for t in texts]
 
-    return per_text(make, "lang_pred string, score double")(text)
+    return per_text(make, "lang_pred string, score double, size int")(text)
+
+
+def _usual_task(profiles: Profiles) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table()
+        counts: Counter[tuple[str, int, int]] = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE).to_pydict()
+                for language, text in zip(part["lang"], part["text"]):
+                    codes = words(text, letters)
+                    # A word ends where a blank follows; the first blank is before all words.
+                    ends = np.nonzero(codes == _BLANK)[0][1:]
+                    for n in BEGINNINGS:
+                        if n <= len(ends):
+                            top = top_of(codes[: ends[n - 1] + 1])
+                            near, score = profiles.nearest(top)
+                            if near == language:
+                                counts[language, len(top).bit_length(), int(score * STEPS)] += 1
+        rows = [(*k, n) for k, n in counts.items()]
+        columns = zip(*rows) if rows else ([], [], [], [])
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["lang", "size", "step", "n"])
+
+    return run
+
+
+def usual_scores(labelled: DataFrame, profiles: Profiles) -> dict[str, dict[int, float]]:
+    """The median score of beginnings of the given rows, by language and length class.
+
+    Only those that are nearest to their own language count. Scores are counted in ``STEPS`` steps, so a median for each
+    of ``CLASSES`` classes of at most ``MAX_LANGUAGES`` languages is all that comes to the driver.
+    """
+    # No beginning needs more than this of a text; words longer than that on average give fewer beginnings.
+    start = F.substring("text", 1, 64 * BEGINNINGS[-1]).alias("text")
+    rows = labelled.where("text is not null and lang is not null").select("lang", start)
+    counts = rows.mapInArrow(_usual_task(profiles), "lang string, size int, step int, n long")
+    counts = counts.groupBy("lang", "size", "step").agg(F.sum("n").alias("n"))
+    usual: dict[str, dict[int, float]] = {}
+    for row in counts.groupBy("lang", "size").agg(F.percentile("step", 0.5, F.col("n")).alias("step")).collect():
+        usual.setdefault(row["lang"], {})[row["size"]] = row["step"] / STEPS
+    return usual
 
 
 def held_out(doc_id: Column) -> Column:
@@ -185,11 +240,31 @@ def digest(documents: DataFrame) -> DataFrame:
     """
     found = identified(F.col("text"), learnt(documents))
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
-    return documents.select("doc_id", out, found.alias("found")).select("doc_id", "held_out", "found.*")
+    return documents.select("doc_id", out, found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def least_scores(usual: dict[str, dict[int, float]], least_score: float) -> dict[str, list[float]]:
+    """What a text must reach, for each language and length class; classes nothing was learnt of take the least of all."""
+    least = {}
+    for language, by_size in usual.items():
+        fallback = min(by_size.values())
+        least[language] = [max(least_score, USUAL_SHARE * by_size.get(size, fallback)) for size in range(CLASSES)]
+    return least
 
 
 def accepted(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose text is in one of the learnt languages; what has no letter or is far from all goes."""
-    found = identified(F.col("row.text"), learnt(documents))
+    """The documents whose text is in one of the learnt languages.
+
+    What has no letter goes, and what scores less than ``least_score`` or less than ``USUAL_SHARE`` of what is usual for
+    learnt texts of that language and length. A language without any learnt text that is nearest to it has
+    ``least_score`` alone.
+    """
+    profiles = learnt(documents)
+    least = least_scores(usual_scores(documents.where(~held_out(F.col("doc_id"))), profiles), least_score)
+    found = identified(F.col("row.text"), profiles)
     judged = documents.select(F.struct("*").alias("row")).withColumn("found", found)
-    return judged.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least_score)).select("row.*")
+    languages = sorted(least)
+    rows = documents.sparkSession.createDataFrame([(k, least[k]) for k in languages], "lang_pred string, least array<double>")
+    needed = F.coalesce(F.get("least", F.col("found.size")), F.lit(least_score))
+    judged = judged.withColumn("lang_pred", F.col("found.lang_pred")).join(F.broadcast(rows), "lang_pred", "left")
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("found.score") >= needed)).select("row.*")
