@@ -16,6 +16,7 @@ from vacantia.llm import (
     secret_scan,
     sharding,
     simhash_dedup,
+    spelling,
     token_counts,
 )
 from vacantia.llm.tables import table
@@ -71,3 +72,8 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("op10_sharding")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+@catalog.add("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
