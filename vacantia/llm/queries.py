@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vacantia.catalog import Catalog
 from vacantia.llm import (
     check_sql,
+    conversation_repair,
     decontamination,
     html_extraction,
     language_id,
@@ -74,6 +75,11 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+@catalog.add("op11_conversation_repair")
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 @catalog.add("op13_spelling_variants")
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(table(spark, sf_dir, "documents"))
