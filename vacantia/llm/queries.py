@@ -9,6 +9,7 @@ from vacantia.llm import (
     check_sql,
     conversation_repair,
     decontamination,
+    embedding_dedup,
     html_extraction,
     language_id,
     license_scan,
@@ -80,6 +81,11 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(table(spark, sf_dir, "conversations"))
 
 
+@catalog.add("op12_embedding_dedup")
+def embedding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
 @catalog.add("op13_spelling_variants")
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(table(spark, sf_dir, "documents"))
