@@ -17,7 +17,7 @@ from vacantia.plans import classify as P
 from vacantia.plans import ingest as I
 from vacantia.plans import seed as SD
 from vacantia.plans.session import shared_folder, written
-from vacantia.plans.tables import SCHEMAS
+from vacantia.plans.tables import no_rows
 
 catalog = Catalog()
 
@@ -128,7 +128,7 @@ def _resolved(spark, sf):
         "doc_id", F.col("doc_id").alias("ordinal"), *M.LISTING, "company_name", "company_slug", "normalized_title", "apply_url",
         "description_text", "eligible_countries", "eligible_regions",
     )
-    empty = {name: spark.createDataFrame([], SCHEMAS[name]) for name in ("jobs", "companies", "listings")}
+    empty = no_rows(spark)
     now = F.timestamp_seconds(F.lit(B.NOW_EPOCH))
     return I.resolve(written(pending), empty["jobs"], empty["companies"], empty["listings"], now)
 
@@ -144,7 +144,7 @@ def batch_tables(spark, sf):
     raw = M.with_checksum(B.raw_postings(spark, sf)).withColumns(
         {"ordinal": F.col("doc_id"), "run_id": F.concat(F.lit("run-"), F.col("source_slug"))}
     )
-    empty = {name: spark.createDataFrame([], SCHEMAS[name]) for name in ("jobs", "companies", "listings")}
+    empty = no_rows(spark)
     captured = spark.createDataFrame([], "source_slug string, external_id string, checksum string, status string, error string")
     now = F.timestamp_seconds(F.lit(B.NOW_EPOCH))
     batch = I.apply_batch(raw, captured, empty["jobs"], empty["companies"], empty["listings"], now)

@@ -159,31 +159,44 @@ def run_stats(outcomes: DataFrame, seen_known: DataFrame | None = None) -> DataF
         F.count("error").alias("errors"),
     )
     if seen_known is not None:
-        seen = seen_known.groupBy("run_id").agg(F.count("*").alias("seen"))
-        stats = stats.join(seen, "run_id", "left").withColumn(
-            "fetched", F.col("fetched") + F.coalesce("seen", F.lit(0))
-        ).drop("seen")
+        stats = _with_seen(stats, seen_known)
     return stats.withColumn("status", F.when(F.col("errors") > 0, "PARTIAL").otherwise("SUCCESS")).withColumn(
         "duration_ms", F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("finished_at"))
     )
 
 
+def _with_seen(stats: DataFrame, seen_known: DataFrame) -> DataFrame:
+    """Known ids that were only seen count as fetched by their run."""
+    seen = seen_known.groupBy("run_id").agg(F.count("*").alias("seen"))
+    return stats.join(seen, "run_id", "left").withColumn(
+        "fetched", F.col("fetched") + F.coalesce("seen", F.lit(0))
+    ).drop("seen")
+
+
 def ingestion_runs(
     outcomes: DataFrame, seen_known: DataFrame | None = None, started: DataFrame | None = None,
-    started_at: Column | None = None,
+    started_at: Column | None = None, failed: DataFrame | None = None,
 ) -> DataFrame:
     """Run statistics with their error samples.
 
     ``started`` (``run_id, source_slug``) has all runs that began at ``started_at``: one that brought nothing has a row
-    too, and its success counts for the sweep.
+    too, and its success counts for the sweep. ``failed`` (``run_id, source_slug, error``) has runs that came to nothing:
+    they are FAILED, with that one error, and retire no listing.
     """
-    stats = run_stats(outcomes, seen_known)
+    stats = run_stats(outcomes)
+    blank = {c: F.lit(0).cast(t) for c, t in stats.dtypes if t == "bigint"}
+    times = {"started_at": started_at, "finished_at": started_at}
     if started is not None:
         idle = started.select("run_id", "source_slug").distinct().join(stats.select("run_id"), "run_id", "left_anti")
-        blank = {c: F.lit(0).cast(t) for c, t in stats.dtypes if t == "bigint"}
-        times = {"started_at": started_at, "finished_at": started_at, "status": F.lit("SUCCESS")}
-        stats = stats.unionByName(idle.withColumns(blank | times).select(*stats.columns))
-    return stats.join(error_samples(outcomes), "run_id", "left")
+        stats = stats.unionByName(idle.withColumns(blank | times | {"status": F.lit("SUCCESS")}).select(*stats.columns))
+    if seen_known is not None:
+        stats = _with_seen(stats, seen_known).select(*stats.columns)
+    out = stats.join(error_samples(outcomes), "run_id", "left")
+    if failed is None:
+        return out
+    sample = F.array(F.struct(F.col("error").alias("message"), F.lit(None).cast("string").alias("external_id")))
+    told = failed.withColumns(blank | times | {"errors": F.lit(1).cast("bigint"), "status": F.lit("FAILED"), "error_sample": sample})
+    return out.unionByName(told.select(*out.columns))
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

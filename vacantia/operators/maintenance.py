@@ -42,18 +42,28 @@ def with_change(postings: DataFrame, captured: DataFrame) -> DataFrame:
     return out.withColumn("change", change).drop("seen_status", "seen_before")
 
 
-def known_ids(captured: DataFrame, listings: DataFrame, parser_version: int | None = None) -> DataFrame:
+def known_ids(captured: DataFrame, listings: DataFrame, parser_version: int | dict[str, int] | None = None) -> DataFrame:
     """External ids a detail-heavy source need not fetch again.
 
     Without a wanted parser version: all that came to an end. With one: listed ids and those
-    parsed at that version.
+    parsed at that version. A dictionary has the wanted versions of the sources that have one.
     """
     ended = captured.filter(F.col("status").isin(D.TERMINAL_STATUSES))
-    if parser_version is None:
+    if parser_version is None or parser_version == {}:
         return ended.select(*LISTING).distinct()
-    version = F.get_json_object("raw_payload", "$.parserVersion").try_cast("int")
-    at_version = ended.filter(version == parser_version).select(*LISTING)
-    return listings.select(*LISTING).unionByName(at_version).distinct()
+    if isinstance(parser_version, dict):
+        entries = [F.lit(x) for entry in parser_version.items() for x in entry]
+        wanted = F.try_element_at(F.create_map(*entries), F.col("source_slug"))
+    else:
+        wanted = F.lit(parser_version)
+    parsed = F.col("parser_version") if "parser_version" in captured.columns else parser_of(F.col("raw_payload"))
+    known = ended.filter(wanted.isNull() | (parsed == wanted)).select(*LISTING)
+    return listings.filter(wanted.isNotNull()).select(*LISTING).unionByName(known).distinct()
+
+
+def parser_of(payload: Column) -> Column:
+    """The parser version a payload names, or null."""
+    return F.get_json_object(payload, "$.parserVersion").try_cast("int")
 
 
 def split_known(discovered: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,12 +150,22 @@ def touch(listings: DataFrame, jobs: DataFrame, seen: DataFrame, now: Column) ->
     return refreshed(marked).select(*listings.columns), refreshed(jobs.join(job_ids, "job_id", "left")).select(*jobs.columns)
 
 
+def swept_since(runs: DataFrame) -> DataFrame:
+    """``source_slug, since``: when the last successful run of each source began."""
+    return runs.filter("status = 'SUCCESS'").groupBy("source_slug").agg(F.max("started_at").alias("since"))
+
+
+def stale_listings(listings: DataFrame, runs: DataFrame) -> DataFrame:
+    """Active listings that the last successful run of their source did not see."""
+    return listings.filter("is_active").join(swept_since(runs), "source_slug").filter("last_seen_at < since").drop("since")
+
+
 def sweep(listings: DataFrame, jobs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Retire listings a successful run of their source did not see, and jobs left without any.
 
     A run that was partial or failed retires nothing.
     """
-    started = runs.filter("status = 'SUCCESS'").groupBy("source_slug").agg(F.max("started_at").alias("_since"))
+    started = swept_since(runs).withColumnRenamed("since", "_since")
     stale = F.col("_since").isNotNull() & (F.col("last_seen_at") < F.col("_since"))
     swept = (
         listings.join(started, "source_slug", "left").withColumn("is_active", F.col("is_active") & ~stale)

@@ -27,6 +27,8 @@ class Tables:
     technologies: DataFrame
     role_categories: DataFrame | None = None
     index: DataFrame | None = None
+    # Where texts are stored apart from the jobs.
+    job_texts: DataFrame | None = None
 
 
 def matching_jobs(tables: Tables, params: SearchParams, now: Column) -> DataFrame:
@@ -155,8 +157,11 @@ def job_detail(tables: Tables, ids: DataFrame) -> DataFrame:
     Listings stay rows: a job that most sources copied has no bound on them. Technologies are
     at most the vocabulary, so they come as an array.
     """
-    jobs = tables.jobs.join(ids, "job_id", "left_semi")
+    # A row's date is its listing's; stored jobs have one of their own.
+    jobs = tables.jobs.join(ids, "job_id", "left_semi").withColumnRenamed("first_discovered_at", "job_discovered_at")
     keys = jobs.select("job_id")
+    if tables.job_texts is not None:
+        jobs = jobs.join(tables.job_texts.join(ids, "job_id", "left_semi"), "job_id", "left")
     names = tables.sources.select(F.col("slug").alias("source_slug"), F.col("display_name").alias("source_name"))
     listed = (
         tables.listings.filter("is_active")

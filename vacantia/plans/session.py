@@ -37,6 +37,11 @@ def _application_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for tables of this application; it goes when the application ends."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, *by: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, lineage cut, size known.
 

@@ -1,21 +1,27 @@
-"""Canonical tables as versions of Parquet folders behind one manifest each.
+"""Canonical tables as versions of Parquet runs behind one manifest each.
 
-A version writes folders of its own and, last of all, a manifest that names the folders of every table as of that
-version. Readers go through a manifest only, so they never see a version in part: a lost writer leaves the last whole
-version in place, and no plan overwrites a path it reads.
+A version writes runs of its own, the rows it adds or changes and nothing else, and last of all a manifest that names the
+runs of every table as of that version. Readers go through a manifest only, so they never see a version in part: a lost
+writer leaves the last whole version in place, and no plan overwrites a path that a manifest names. A version that is
+written again does so beside its earlier attempt.
 
-Tables that grow by appending list one more folder per version; runs of small ones are merged now and then. The others
-are divided by a hash of their key into buckets, and a version writes the buckets it touches and names the old folders
-of the rest.
+Tables with a key are merged when they are read: of the rows of a key the one of the newest run counts. Runs are merged
+by size, so that each is several times as large as all newer ones together: a table of any size has a few runs, and a row
+is rewritten a few times in its life, whatever the number of versions. A run is divided into as many buckets as its rows
+need, each a range of a fixed number of hash slots, so a look-up reads in every run only the buckets of its keys.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.plans.session import written
+
 SCHEMAS = {
     "raw_postings": (
         "source_slug string, external_id string, source_url string, apply_url string, company_name string, "
@@ -28,22 +34,37 @@ SCHEMAS = {
         "source_slug string, external_id string, checksum string, status string, error string, "
         "logged_at timestamp, sequence bigint"
     ),
-    "captures": "source_slug string, external_id string, checksum string, status string, error string",
+    "captures": (
+        "source_slug string, external_id string, checksum string, status string, error string, parser_version int"
+    ),
     "jobs": (
         "job_id string, title string, normalized_title string, role_category string, seniority string, "
-        "tags array<string>, company_slug string, description string, description_text string, "
-        "location_raw string, location_display string, remote_type string, eligible_countries array<string>, "
+        "tags array<string>, company_slug string, location_raw string, location_display string, remote_type string, eligible_countries array<string>, "
         "eligible_regions array<string>, geo_confidence string, geo_reason string, employment_type string, "
         "salary_min int, salary_max int, salary_currency string, salary_period string, "
         "technologies array<string>, posted_at timestamp, posted_at_is_inferred boolean, "
         "first_discovered_at timestamp, last_seen_at timestamp, apply_url string, fingerprint string, "
         "is_active boolean"
     ),
+    # A job's texts never change, so what changes about a job never carries them along.
+    "job_texts": "job_id string, description string, description_text string",
+    # What a posting is compared with, by company: the jobs' profiles as resolution reads them.
+    "blocks": (
+        "company_key string, job_id string, first_discovered_at timestamp, company string, title string, url string, "
+        "countries array<string>, regions array<string>, grams array<bigint>"
+    ),
+    "job_listings": "job_id string, source_slug string, external_id string",
     "listings": (
         "source_slug string, external_id string, job_id string, source_url string, apply_url string, "
         "posted_at timestamp, posted_at_is_inferred boolean, first_discovered_at timestamp, "
         "last_seen_at timestamp, is_active boolean"
     ),
+    # Landed rows that no mapping could read, with the reason.
+    "dead_letters": (
+        "source_slug string, board string, page_url string, payload string, run_id string, fetched_at timestamp, error string"
+    ),
+    # Discovered ids whose details are not known yet.
+    "wanted": "source_slug string, external_id string, run_id string, found_at timestamp",
     "companies": "slug string, name string, website_url string",
     "fts_index": "job_id string, term string, positions array<struct<position:int,label:string>>",
     "runs": (
@@ -53,26 +74,57 @@ SCHEMAS = {
         "error_sample array<struct<message:string,external_id:string>>"
     ),
 }
-# Grown by appending; a job's words never change, so the index of full text only gets those of new jobs.
-APPENDED = ("raw_postings", "status_log", "runs", "fts_index")
-# Divided into buckets by these columns.
-KEYS = {
-    "captures": ("source_slug", "external_id"),
-    "listings": ("source_slug", "external_id"),
-    "jobs": ("job_id",),
-    "companies": ("slug",),
+# A job with its texts, as resolution reads it where no index of profiles is kept.
+WHOLE_JOB = f"{SCHEMAS['jobs']}, description string, description_text string"
+
+
+def no_rows(spark: SparkSession) -> dict[str, DataFrame]:
+    """Empty jobs (with their texts), companies and listings: what a first batch meets."""
+    schemas = {"jobs": WHOLE_JOB, "companies": SCHEMAS["companies"], "listings": SCHEMAS["listings"]}
+    return {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a table's rows lie: in the order or by the slots of ``by``; the newest row of a ``key`` counts, if it has one."""
+
+    by: tuple[str, ...] = ()
+    key: tuple[str, ...] = ()
+    # In which order rows of the same ``by`` follow, so that many of them need not be one file.
+    then: tuple[str, ...] = ()
+    slots: bool = True
+    bucket_rows: int = 1 << 18
+
+
+_LISTING = ("source_slug", "external_id")
+LAYOUTS = {
+    "raw_postings": Layout(("source_slug",), slots=False),
+    "status_log": Layout(slots=False),
+    "runs": Layout(slots=False),
+    # Terms in order, so that a query's words are found by the files' own statistics.
+    "fts_index": Layout(("term", "job_id"), slots=False),
+    "dead_letters": Layout(slots=False),
+    "wanted": Layout(slots=False),
+    "captures": Layout(_LISTING, (*_LISTING, "checksum"), ("checksum",)),
+    "listings": Layout(_LISTING, _LISTING),
+    "jobs": Layout(("job_id",), ("job_id",)),
+    "companies": Layout(("slug",), ("slug",)),
+    "job_texts": Layout(("job_id",), bucket_rows=1 << 15),
+    "blocks": Layout(("company_key",), then=("first_discovered_at", "job_id"), bucket_rows=1 << 15),
+    "job_listings": Layout(("job_id",), then=_LISTING),
 }
-# Buckets of a table; a root keeps the number it began with.
-BUCKETS = 64
-# So many single folders of an appended table are merged into one.
-MERGED = 32
+# Ranges of these make buckets, so a run may have as many buckets and a look-up brings as many numbers to the driver.
+SLOTS = 1 << 16
+# A run is at least so many times as large as all newer runs together.
+RATIO = 4
+SLOT = "_slot"
 
 
 class Tables:
     """Read and write the tables under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
 
     # --- manifests ---
 
@@ -80,93 +132,196 @@ class Tables:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._path(folder)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _published(self) -> list[tuple[int, int]]:
+        """Whole versions with their attempts, oldest first."""
+        found = [n.removesuffix(".json").split(".") for n in self._names("manifests") if n.endswith(".json") and n[0] != "_"]
+        return sorted((int(version), int(attempt)) for version, attempt in found)
+
     def versions(self) -> list[int]:
         """Whole versions, oldest first."""
-        fs, path = self._path("manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != "_")
-
-    def manifest(self, before: int | None = None) -> dict:
-        """The folders of every table as of the last version (before the given number)."""
-        wanted = [v for v in self.versions() if before is None or v < before]
-        if not wanted:
-            return {"buckets": self._buckets, "tables": {}}
-        text = self.spark.read.option("wholetext", True).text(f"{self.root}/manifests/{wanted[-1]}.json").first()[0]
+        return sorted({version for version, _ in self._published()})
+
+    def manifest(self, before: int | None = None) -> dict[str, list[dict]]:
+        """The runs of every table, oldest first, as of the last version (before the given number) and its last attempt."""
+        wanted = [p for p in self._published() if before is None or p[0] < before]
+        return self._manifest(*wanted[-1]) if wanted else {}
+
+    def _manifest(self, version: int, attempt: int) -> dict[str, list[dict]]:
+        text = self.spark.read.option("wholetext", True).text(f"{self.root}/manifests/{version}.{attempt}.json").first()[0]
         return json.loads(text)
 
-    def publish(self, version: int, written: dict[str, list[str] | dict[str, str]]) -> None:
-        """Make a version whole: ``written`` has its new folders, by bucket for tables that have buckets."""
+    def _folder(self, name: str, version: int) -> str:
+        """Where a version's rows of a table go: not where those of an attempt are that was published."""
+        attempt = sum(v == version for v, _ in self._published())
+        return f"{name}/v={version}.{attempt}"
+
+    def publish(self, version: int, runs: dict[str, dict]) -> None:
+        """Make a version whole: its new runs on top of those before it, merged where they have grown alike."""
         manifest = self.manifest(version)
-        for name, folders in written.items():
-            old = manifest["tables"].get(name)
-            if name in APPENDED:
-                manifest["tables"][name] = self._merged(name, [*(old or []), *folders], version)
-            else:
-                manifest["tables"][name] = (old or {}) | folders
-        # Written beside and renamed, so a manifest is there as a whole or not at all.
-        fs, beside = self._path(f"manifests/_{version}.json")
+        for name, run in runs.items():
+            manifest[name] = self._merged(name, [*manifest.get(name, []), *([run] if run["rows"] else [])], version)
+        # Written beside and renamed under a name of its own, so a manifest is there as a whole or not at all, and the one of
+        # an earlier attempt stays until readers see this one.
+        attempt = sum(v == version for v, _ in self._published())
+        fs, beside = self._path(f"manifests/_{version}.{attempt}.json")
         out = fs.create(beside, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        _, path = self._path(f"manifests/{version}.json")
-        fs.delete(path, False)
+        _, path = self._path(f"manifests/{version}.{attempt}.json")
         if not fs.rename(beside, path):
             raise OSError(f"manifest {version} could not be put in place")
 
-    def _merged(self, name: str, folders: list[str], version: int) -> list[str]:
-        """Merge single folders once there are ``MERGED`` of them; raw payloads stay by source as they are."""
-        single = [f for f in folders if not f.endswith("-merged")]
-        if name == "raw_postings" or len(single) < MERGED:
-            return folders
-        target = f"{name}/v={version}-merged"
-        rows = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in single])
-        rows = _by_term(rows) if name == "fts_index" else rows.coalesce(1 + len(single) // MERGED)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{target}")
-        return [*[f for f in folders if f.endswith("-merged")], target]
-
-    # --- tables ---
-
-    def bucket_of(self, name: str, manifest: dict | None = None) -> Column:
-        number = (manifest or self.manifest())["buckets"]
-        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in KEYS[name]]), F.lit(number)).cast("int")
-
-    def touched(self, name: str, keys: DataFrame) -> list[int]:
-        """The buckets of some keys: at most as many numbers as there are buckets."""
-        found = keys.select(self.bucket_of(name).alias("bucket")).distinct().collect()
-        return sorted(r["bucket"] for r in found)
-
-    def read(self, name: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The table as of the last whole version (before the given number), or only some of its buckets."""
-        folders = self.manifest(before)["tables"].get(name, [])
-        if name not in APPENDED:
-            folders = [f for b, f in dict(folders).items() if buckets is None or int(b) in buckets]
-        if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in folders])
+    def _merged(self, name: str, runs: list[dict], version: int) -> list[dict]:
+        """Merge the newest runs as long as the one before them is not much larger than they are together."""
+        first, rows = len(runs) - 1, runs[-1]["rows"] if runs else 0
+        while first > 0 and runs[first - 1]["rows"] < RATIO * rows:
+            first -= 1
+            rows += runs[first]["rows"]
+        if first >= len(runs) - 1:
+            return runs
+        return [*runs[:first], self._write(name, self._rows(name, runs[first:]), f"{self._folder(name, version)}-merged")]
 
-    def write(self, name: str, frame: DataFrame, version: int) -> list[str] | dict[str, str]:
-        """Write a version's rows, for ``publish``; the same version again replaces its own folder only.
+    def vacuum(self, keep: int) -> list[str]:
+        """Delete the runs that none of the last ``keep`` versions reads, and their manifests; gives what went.
 
-        A table with buckets must be given all rows of each bucket that any row is in.
+        Runs of versions above the last whole one may be in the making and stay.
         """
+        published = self._published()
+        kept = set(self.versions()[-keep:])
+        read = {run["folder"] for p in published if p[0] in kept for runs in self._manifest(*p).values() for run in runs}
+        gone = [f"manifests/{v}.{a}.json" for v, a in published if v not in kept]
+        for name in LAYOUTS:
+            for folder in self._names(name):
+                version = int(folder.removeprefix("v=").split(".")[0])
+                if f"{name}/{folder}" not in read and version <= max(kept, default=-1):
+                    gone.append(f"{name}/{folder}")
+        # Manifests first: none may name a run that is gone.
+        for path in gone:
+            fs, at = self._path(path)
+            fs.delete(at, True)
+        return gone
+
+    # --- reading ---
+
+    def slot_of(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in LAYOUTS[name].by]), F.lit(SLOTS)).cast("int")
+
+    def slots(self, name: str, keys: DataFrame) -> list[int]:
+        """The slots of some keys: at most ``SLOTS`` numbers."""
+        return sorted(r[SLOT] for r in keys.select(self.slot_of(name).alias(SLOT)).distinct().collect())
+
+    def _paths(self, run: dict, slots: list[int] | None) -> list[str]:
+        """A run's folder, or the folders of the buckets that hold some slots."""
+        if slots is None or run["buckets"] < 2:
+            return [f"{self.root}/{run['folder']}"]
+        wanted = {slot * run["buckets"] // SLOTS for slot in slots} - set(run["empty"])
+        return [f"{self.root}/{run['folder']}/bucket={b}" for b in sorted(wanted)]
+
+    def _rows(self, name: str, runs: list[dict], slots: list[int] | None = None) -> DataFrame:
+        """The rows of some runs, oldest first; of a key the newest row."""
+        schema, key = SCHEMAS[name], list(LAYOUTS[name].key)
+        if LAYOUTS[name].slots:
+            schema += f", {SLOT} int"
+        columns = [f.split()[0] for f in _fields(schema)]
+
+        def read(run: dict) -> DataFrame:
+            paths = self._paths(run, slots)
+            if not paths:
+                return self.spark.createDataFrame([], schema)
+            # Without the folders' own column, the bucket.
+            return self.spark.read.schema(schema).parquet(*paths).select(*columns)
+
+        if not key or len(runs) < 2:
+            return reduce(DataFrame.unionByName, map(read, runs))
+        newer = reduce(DataFrame.unionByName, [read(run).withColumn("_run", F.lit(i)) for i, run in enumerate(runs[1:])])
+        if len(runs) > 2:
+            # Only keys and ranks of what is much smaller than the oldest run are aggregated.
+            last = newer.groupBy(*key).agg(F.max("_run").alias("_run"))
+            newer = newer.join(last, [*key, "_run"], "left_semi")
+        newer = newer.drop("_run")
+        older = read(runs[0]).join(newer.select(*key).distinct(), key, "left_anti")
+        return older.unionByName(newer)
+
+    def read(self, name: str, before: int | None = None, slots: list[int] | None = None) -> DataFrame:
+        """The table as of the last whole version (before the given number); at least the rows in ``slots``, if given."""
+        runs = self.manifest(before).get(name, [])
+        columns = [f.split()[0] for f in _fields(SCHEMAS[name])]
+        if not runs or slots == []:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self._rows(name, runs, slots).select(*columns)
+
+    def lookup(self, name: str, keys: DataFrame, before: int | None = None) -> DataFrame:
+        """The rows whose ``by`` columns are among those of ``keys``, from the buckets that can hold them."""
+        by = list(LAYOUTS[name].by)
+        return self.read(name, before, self.slots(name, keys)).join(keys.select(*by).distinct(), by, "left_semi")
+
+    # --- writing ---
+
+    def write(self, name: str, frame: DataFrame, version: int) -> dict:
+        """Write the rows a version adds or changes as a run, for ``publish``; the same version again writes beside it."""
         columns = [f"CAST({c.split()[0]} AS {' '.join(c.split()[1:])}) AS {c.split()[0]}" for c in _fields(SCHEMAS[name])]
-        folder = f"{name}/v={version}"
-        rows = frame.selectExpr(*columns)
-        if name in APPENDED:
-            by = ["source_slug"] if name == "raw_postings" else []
-            rows = _by_term(rows) if name == "fts_index" else rows
-            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{folder}")
-            return [folder]
-        dealt = rows.withColumn("bucket", self.bucket_of(name)).repartition("bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        fs, path = self._path(folder)
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return {n[len("bucket=") :]: f"{folder}/{n}" for n in names if n.startswith("bucket=")}
+        return self._write(name, frame.selectExpr(*columns), self._folder(name, version))
+
+    def _write(self, name: str, rows: DataFrame, folder: str) -> dict:
+        layout, path = LAYOUTS[name], f"{self.root}/{folder}"
+        if not layout.slots:
+            if name == "raw_postings":
+                rows.write.mode("overwrite").partitionBy(*layout.by).parquet(path)
+            elif layout.by:
+                rows.repartitionByRange(*layout.by).sortWithinPartitions(*layout.by).write.mode("overwrite").parquet(path)
+            else:
+                rows.write.mode("overwrite").parquet(path)
+            count = self.spark.read.schema(SCHEMAS[name]).parquet(path).count()
+            return {"folder": folder, "rows": count, "buckets": 0}
+        # Written as they come first: their number says into how many buckets they go.
+        rows = written(rows.withColumn(SLOT, self.slot_of(name)))
+        count = rows.count()
+        buckets = 1
+        while buckets < SLOTS and buckets * layout.bucket_rows < count:
+            buckets *= 2
+        order = [SLOT, *layout.by, *layout.then]
+        if buckets == 1:
+            rows.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+        else:
+            # By ranges of all that orders the rows, so a key with many of them is several files of its bucket.
+            dealt = rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+            dealt.withColumn("bucket", self._bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        there = {n.removeprefix("bucket=") for n in self._names(folder)}
+        empty = [b for b in range(buckets) if str(b) not in there] if buckets > 1 else []
+        run = {"folder": folder, "rows": count, "buckets": buckets, "empty": empty}
+        if name == "listings":
+            run["seen"] = self._seen(rows, buckets)
+        return run
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.expr(f"CAST({SLOT} * {buckets}L DIV {SLOTS} AS int)")
+
+    # --- what a sweep may skip ---
 
+    def _seen(self, listings: DataFrame, buckets: int) -> dict[str, dict[str, int]]:
+        """By source and bucket when an active listing of a run was last seen, at the earliest (microseconds)."""
+        least = listings.where("is_active").groupBy("source_slug", self._bucket(buckets).alias("bucket")).agg(
+            F.min(F.unix_micros("last_seen_at")).alias("least")
+        )
+        seen: dict[str, dict[str, int]] = {}
+        for row in least.where("source_slug IS NOT NULL AND least IS NOT NULL").collect():
+            seen.setdefault(row["source_slug"], {})[str(row["bucket"])] = row["least"]
+        return seen
 
-def _by_term(index: DataFrame) -> DataFrame:
-    """Terms in order, so that a query's words are found by the files' own statistics."""
-    return index.repartitionByRange("term", "job_id").sortWithinPartitions("term", "job_id")
+    def unseen_slots(self, since: dict[str, int], before: int | None = None) -> list[int]:
+        """The slots that can hold an active listing of a source last seen before a time (microseconds)."""
+        found: set[int] = set()
+        for run in self.manifest(before).get("listings", []):
+            width = SLOTS // run["buckets"]
+            for source, time in since.items():
+                for bucket, least in run["seen"].get(source, {}).items():
+                    if least < time:
+                        found.update(range(int(bucket) * width, (int(bucket) + 1) * width))
+        return sorted(found)
 
 
 def _fields(schema: str) -> list[str]:
