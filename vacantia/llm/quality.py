@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from vacantia.llm.tables import SLICE, per_text
 
 BUCKETS = 1 << 14
-# N-grams per bucket that the target is credited with in the proportions of the raw corpus, so that buckets the
-# target says little about have a ratio near one.
-PRIOR = 64.0
+# N-grams that the target is credited with in the proportions of the raw corpus, as a share of its own, so that buckets the
+# target says little about have a ratio near one. A share: a corpus told twice gives every document the same score.
+CREDIT = 0.5
 # Mean log ratio below which a document is not kept.
 THRESHOLD = -0.1
-# The trusted target is at most this many labelled documents, those with the smallest hash of their id.
-TRUSTED = 1_000_000
+# The trusted target is at most this many labelled documents, those with the smallest hash of their id; their ids are what
+# is broadcast, some megabytes at most.
+TRUSTED = 100_000
 # Rules: fewer words fail, and so does a greater percentage of words in repeated windows of this many words.
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
@@ -90,8 +91,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     if not target.sum():
         return np.zeros(BUCKETS)
     expected = raw / raw.sum()
-    credit = PRIOR * BUCKETS
-    share = (target + credit * expected) / (target.sum() + credit)
+    share = (target / target.sum() + CREDIT * expected) / (1 + CREDIT)
     return np.log(np.divide(share, expected, out=np.ones(BUCKETS), where=expected > 0))
 
 
