@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia import dictionaries as D
 from vacantia.catalog import Catalog, resolution as RC, sql as S
+from vacantia.operators import facets as A
 from vacantia.operators import maintenance as M
 from vacantia.operators import resolve as R
 from vacantia.plans import binding as B
@@ -92,13 +93,15 @@ def company_versions(spark, sf):
     return tables.read("companies")
 
 
-def _swept(spark: SparkSession, sf: str) -> Tables:
+def _swept(spark: SparkSession, sf: str, jobs: DataFrame | None = None) -> Tables:
+    """Stored listings and jobs after a sweep."""
     listings = RC._unique_listings(spark, sf)
     runs = RC._runs(spark, sf)
     # As earlier sweeps left them: a job without an active listing is not active.
-    jobs = M.sweep(listings, RC._fresh_jobs(spark, sf), runs.limit(0))[1]
+    jobs = _full("jobs", M.sweep(listings, RC._fresh_jobs(spark, sf) if jobs is None else jobs, runs.limit(0))[1])
     tables = _stored(
         spark, listings=listings, jobs=jobs, job_listings=listings.select("job_id", *M.LISTING), runs=runs,
+        facet_counts=A.facet_counts(jobs, A.technologies_of(jobs), _full("listings", listings)),
     )
     I.retire_unseen(tables, 1)
     return tables
@@ -117,6 +120,31 @@ def stored_sweep_jobs(spark, sf):
     return out.withColumn("job_id", F.col("job_id").cast("long"))
 
 
+@catalog.add(
+    "agg_facets_stored",
+    S.with_(S.LISTINGS, S.JOBS, S.SOURCES, S.JOB_TECHNOLOGIES, S.TECHNOLOGIES, S.ROLES, RC._UNIQUE, RC._SWEPT,
+            """active AS MATERIALIZED (SELECT * FROM jobs j WHERE is_active
+          AND coalesce((SELECT bool_or(s.is_active) FROM swept s WHERE s.job_id = j.job_id), true))""", select="""
+      SELECT 'roleCategory' AS facet, role_category AS value, label, count(*) AS count FROM active
+        JOIN role_categories ON slug = role_category GROUP BY ALL
+      UNION ALL SELECT 'region', v, v, count(*) FROM (SELECT unnest(eligible_regions) AS v FROM active) x GROUP BY ALL
+      UNION ALL SELECT 'country', v, v, count(*) FROM (SELECT unnest(eligible_countries) AS v FROM active) x
+        WHERE v <> 'US' GROUP BY ALL
+      UNION ALL SELECT 'seniority', seniority, seniority, count(*) FROM active WHERE seniority IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT 'technology', technology, display_name, count(*) FROM job_technologies JOIN active USING (job_id)
+        JOIN technologies ON slug = technology GROUP BY ALL
+      UNION ALL SELECT 'employmentType', employment_type, employment_type, count(*) FROM active
+        WHERE employment_type IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT 'source', source_slug, display_name, count(DISTINCT a.job_id) FROM swept l
+        JOIN active a ON a.job_id = l.job_id JOIN sources ON slug = source_slug WHERE l.is_active GROUP BY ALL"""),
+)
+def facets_stored(spark, sf):
+    """Facets after a sweep: the counts of the version before and what the sweep took from them."""
+    used = B.job_technologies(spark, sf).groupBy("job_id").agg(F.collect_set("technology").alias("technologies"))
+    jobs = B.jobs(spark, sf).drop("last_seen_at", "technologies").join(used, "job_id", "left")
+    return I.stored_facets(_swept(spark, sf, jobs))
+
+
 @catalog.add(
     "joi_known_ids_stored",
     S.with_(S.POSTINGS, RC._CAPTURED, f"""wanted AS (SELECT doc_id, source_slug, external_id,

@@ -32,12 +32,12 @@ def source_counts(jobs: DataFrame, listings: DataFrame) -> DataFrame:
     )
 
 
-def facets(tables: Tables) -> DataFrame:
-    """The seven facets: ``facet, value, label, count``.
+def facet_counts(jobs: DataFrame, job_technologies: DataFrame, listings: DataFrame) -> DataFrame:
+    """``facet, value, count`` of the seven facets over active jobs.
 
     Five of them come from one scan of the jobs, each row giving its ``(facet, value)`` pairs.
     """
-    active = tables.jobs.filter("is_active")
+    active = jobs.filter("is_active")
 
     def pair(facet: str, value: Column) -> Column:
         return F.struct(F.lit(facet).alias("facet"), value.alias("value"))
@@ -57,11 +57,16 @@ def facets(tables: Tables) -> DataFrame:
         .filter(F.col("value").isNotNull()).groupBy("facet", "value").agg(F.count("*").alias("count"))
     )
     by_technology = (
-        tables.job_technologies.join(active.select("job_id"), "job_id", "left_semi")
+        job_technologies.join(active.select("job_id"), "job_id", "left_semi")
         .groupBy(F.col("technology").alias("value")).agg(F.count("*").alias("count"))
         .withColumn("facet", F.lit("technology"))
     )
-    by_source = source_counts(tables.jobs, tables.listings).withColumn("facet", F.lit("source"))
+    by_source = source_counts(jobs, listings).withColumn("facet", F.lit("source"))
+    return from_jobs.unionByName(by_technology).unionByName(by_source)
+
+
+def labelled(counts: DataFrame, tables: Tables) -> DataFrame:
+    """Facet counts with the labels of their values, by facet and count."""
     labels = (
         tables.role_categories.select(F.lit("roleCategory").alias("facet"), F.col("slug").alias("value"), "label")
         .unionByName(tables.technologies.select(
@@ -69,7 +74,6 @@ def facets(tables: Tables) -> DataFrame:
         .unionByName(tables.sources.select(
             F.lit("source").alias("facet"), F.col("slug").alias("value"), F.col("display_name").alias("label")))
     )
-    counts = from_jobs.unionByName(by_technology).unionByName(by_source)
     return (
         counts.join(labels, ["facet", "value"], "left")
         .select("facet", "value", F.coalesce("label", "value").alias("label"), "count")
@@ -77,6 +81,29 @@ def facets(tables: Tables) -> DataFrame:
     )
 
 
+def facets(tables: Tables) -> DataFrame:
+    """The seven facets: ``facet, value, label, count``."""
+    return labelled(facet_counts(tables.jobs, tables.job_technologies, tables.listings), tables)
+
+
+def technologies_of(jobs: DataFrame) -> DataFrame:
+    """``job_id, technology`` of jobs that hold theirs in an array."""
+    return jobs.select("job_id", F.explode(F.array_distinct("technologies")).alias("technology"))
+
+
+def facet_changes(
+    jobs_before: DataFrame, listings_before: DataFrame, jobs_after: DataFrame, listings_after: DataFrame
+) -> DataFrame:
+    """``facet, value, count``: what a change adds to the counts (less than zero: takes from them).
+
+    All frames are of the jobs that change or whose listings do, with all listings of those, before and after.
+    """
+    before = facet_counts(jobs_before, technologies_of(jobs_before), listings_before)
+    after = facet_counts(jobs_after, technologies_of(jobs_after), listings_after)
+    both = after.unionByName(before.withColumn("count", -F.col("count")))
+    return both.groupBy("facet", "value").agg(F.sum("count").alias("count")).filter("count <> 0")
+
+
 def tab_predicate(tab: str) -> Column:
     """Which jobs a tab of the feed counts; the region-only tab counts like the default one."""
     if tab == "usRemote":

@@ -59,6 +59,8 @@ SCHEMAS = {
         "posted_at timestamp, posted_at_is_inferred boolean, first_discovered_at timestamp, "
         "last_seen_at timestamp, is_active boolean"
     ),
+    # What each version adds to the facets' counts.
+    "facet_counts": "facet string, value string, count bigint",
     # Landed rows that no mapping could read, with the reason.
     "dead_letters": (
         "source_slug string, board string, page_url string, payload string, run_id string, fetched_at timestamp, error string"
@@ -92,6 +94,8 @@ class Layout:
     key: tuple[str, ...] = ()
     # In which order rows of the same ``by`` follow, so that many of them need not be one file.
     then: tuple[str, ...] = ()
+    # Columns that are added up over the rows of a key, where no single one of them counts.
+    added: tuple[str, ...] = ()
     slots: bool = True
     bucket_rows: int = 1 << 18
 
@@ -103,6 +107,7 @@ LAYOUTS = {
     "runs": Layout(slots=False),
     # Terms in order, so that a query's words are found by the files' own statistics.
     "fts_index": Layout(("term", "job_id"), slots=False),
+    "facet_counts": Layout(key=("facet", "value"), added=("count",), slots=False),
     "dead_letters": Layout(slots=False),
     "wanted": Layout(slots=False),
     "captures": Layout(_LISTING, (*_LISTING, "checksum"), ("checksum",)),
@@ -235,6 +240,9 @@ class Tables:
             # Without the folders' own column, the bucket.
             return self.spark.read.schema(schema).parquet(*paths).select(*columns)
 
+        if LAYOUTS[name].added:
+            every = reduce(DataFrame.unionByName, map(read, runs))
+            return every.groupBy(*key).agg(*[F.sum(c).alias(c) for c in LAYOUTS[name].added])
         if not key or len(runs) < 2:
             return reduce(DataFrame.unionByName, map(read, runs))
         newer = reduce(DataFrame.unionByName, [read(run).withColumn("_run", F.lit(i)) for i, run in enumerate(runs[1:])])
@@ -254,6 +262,10 @@ class Tables:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self._rows(name, runs, slots).select(*columns)
 
+    def rows_of(self, name: str, run: dict) -> DataFrame:
+        """The rows that a version wrote."""
+        return self._rows(name, [run]).select(*[f.split()[0] for f in _fields(SCHEMAS[name])])
+
     def lookup(self, name: str, keys: DataFrame, before: int | None = None) -> DataFrame:
         """The rows whose ``by`` columns are among those of ``keys``, from the buckets that can hold them."""
         by = list(LAYOUTS[name].by)
