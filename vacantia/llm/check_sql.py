@@ -37,13 +37,16 @@ def secrets() -> str:
         AND len(list_distinct(string_split(value, ''))) >= {S.OPAQUE_CHARACTERS}
         AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = o.row AND b.start < o.stop AND o.start < b.stop)),
       candidates AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
-      owners AS (SELECT value, count(DISTINCT source) AS n FROM candidates GROUP BY value),
-      spans AS (SELECT c.*, n <= {S.LIVE_OWNERS} AS live FROM candidates c JOIN owners USING (value)
-        WHERE rank < {len(S.BASE)} OR n <= {S.LIVE_OWNERS}),
+      owners AS (SELECT value, count(DISTINCT d.source) + count(DISTINCT doc_id) FILTER (d.source IS NULL) AS n,
+        count(DISTINCT (coalesce('s' || d.source, ''), doc_id)) FILTER (doc_id IS NOT NULL) AS m
+        FROM candidates c JOIN docs d USING (row) GROUP BY value),
+      judged AS (SELECT c.*, n, m, n <= {S.LIVE_OWNERS} AND m <= {S.LIVE_REPOSITORIES} AS live FROM candidates c JOIN owners USING (value)),
+      spans AS (SELECT * FROM judged WHERE rank < {len(S.BASE)} OR live),
       told AS (SELECT row, {counts}, count(*) FILTER (live) AS n_live, string_agg({listed}, ',' ORDER BY start, rank) AS spans,
+        string_agg(n || ':' || m, ',' ORDER BY start, rank) AS copies,
         string_agg({listed}, ',' ORDER BY start, rank) FILTER (rank < {len(S.BASE)}) AS base FROM spans GROUP BY row)
       SELECT doc_id, {filled}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-        coalesce(n_live, 0) AS n_live FROM docs LEFT JOIN told USING (row)"""
+        coalesce(copies, '') AS copies, coalesce(n_live, 0) AS n_live FROM docs LEFT JOIN told USING (row)"""
 
 
 def licenses() -> str:
