@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 
 from vacantia.llm.tables import per_text
 
-# Words of a window, words from one window to the next, edits per window word, and words below which an item says
-# too little to tell a leak from chance and is not searched.
+# Words of a window, words from one window to the next, edits per window word: an item of fewer than five words has a budget
+# of none and must occur as it is.
 WINDOW = 16
 STEP = 4
 RATE = 0.2
-LEAST_WORDS = 5
 # Words of test items that a task holds at once; a larger benchmark is searched in several passes.
 BLOCK_WORDS = 500_000
 
@@ -49,7 +48,7 @@ class Pattern:
 def patterns(item: int, text: str | None) -> list[Pattern]:
     """The windows of an item; the last one ends with it. An item of fewer words than a window is one window."""
     words = words_of(text or "")
-    if len(words) < LEAST_WORDS:
+    if not words:
         return []
     last = max(0, len(words) - WINDOW)
     starts = sorted({*range(0, last, STEP), last})
@@ -94,12 +93,16 @@ def least_distance(pattern: tuple[str, ...], text: list[str]) -> tuple[int, int]
 
 
 class Search:
-    """All pieces of some patterns in one automaton."""
+    """All pieces of some patterns in one automaton. Windows that items share, such as an instruction, are one."""
 
     def __init__(self, found: list[Pattern]) -> None:
-        self.patterns = found
+        items: dict[tuple[str, ...], set[int]] = {}
+        for pattern in found:
+            items.setdefault(pattern.words, set()).add(pattern.item)
+        budgets = {pattern.words: pattern for pattern in found}
+        self.windows = [(budgets[words], sorted(own)) for words, own in items.items()]
         places: dict[str, list[tuple[int, int]]] = {}
-        for number, pattern in enumerate(found):
+        for number, (pattern, _) in enumerate(self.windows):
             for place, piece in pieces(pattern):
                 places.setdefault(f" {' '.join(piece)} ", []).append((number, place))
         self.automaton = ahocorasick.Automaton()
@@ -111,12 +114,12 @@ class Search:
     def __call__(self, text: str) -> list[dict]:
         """For each item with a window within its budget: its least distance and the first stretch that has it."""
         words = words_of(text)
-        if not words or not self.patterns:
+        if not words or not self.windows:
             return []
         starts: list[int] = []
-        # Pattern and where its first word would be: hits of several pieces on one line of the table count once.
+        # Window and where its first word would be: hits of several pieces on one line of the table count once.
         seen: set[tuple[int, int]] = set()
-        best: dict[int, tuple[int, int, int]] = {}
+        near: dict[int, tuple[int, int, int]] = {}
         for end, (length, where) in self.automaton.iter(f" {' '.join(words)} "):
             if not starts:
                 at = 0
@@ -128,13 +131,17 @@ class Search:
                 if (number, at - place) in seen:
                     continue
                 seen.add((number, at - place))
-                pattern = self.patterns[number]
+                pattern = self.windows[number][0]
                 size, budget = len(pattern.words), pattern.budget
                 first = max(0, at - place - budget)
                 distance, stop = least_distance(pattern.words, words[first : at - place + size + budget])
                 if distance <= budget:
                     found = (distance, max(0, first + stop - size), first + stop - 1)
-                    best[pattern.item] = min(best.get(pattern.item, found), found)
+                    near[number] = min(near.get(number, found), found)
+        best: dict[int, tuple[int, int, int]] = {}
+        for number, found in near.items():
+            for item in self.windows[number][1]:
+                best[item] = min(best.get(item, found), found)
         names = ("distance", "first_word", "last_word")
         return [{"item_id": item} | dict(zip(names, best[item])) for item in sorted(best)]
 
