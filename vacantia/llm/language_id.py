@@ -33,8 +33,10 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.1
 # So is one that does not reach this share of what is usual for learnt texts of its language and length.
 USUAL_SHARE = 0.5
-# Words of a learnt text's beginnings that tell what is usual, and steps in which their scores are counted.
+# Words of a learnt text's beginnings that tell what is usual, beside the whole text, and steps in which their scores are
+# counted. About so many learnt rows, those with the smallest hashes of their ids, are asked.
 BEGINNINGS = (1, 4, 16, 64, 256)
+USUAL_ROWS = 20_000
 STEPS = 1000
 # Lengths of a text's list of n-grams by powers of two.
 CLASSES = PROFILE.bit_length() + 1
@@ -191,12 +193,12 @@ def _usual_task(profiles: Profiles) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     codes = words(text, letters)
                     # A word ends where a blank follows; the first blank is before all words.
                     ends = np.nonzero(codes == _BLANK)[0][1:]
-                    for n in BEGINNINGS:
-                        if n <= len(ends):
-                            top = top_of(codes[: ends[n - 1] + 1])
-                            near, score = profiles.nearest(top)
-                            if near == language:
-                                counts[language, len(top).bit_length(), int(score * STEPS)] += 1
+                    parts = [codes[: ends[n - 1] + 1] for n in BEGINNINGS if n < len(ends)]
+                    for part_codes in (*parts, codes):
+                        top = top_of(part_codes)
+                        near, score = profiles.nearest(top)
+                        if near == language:
+                            counts[language, len(top).bit_length(), int(score * STEPS)] += 1
         rows = [(*k, n) for k, n in counts.items()]
         columns = zip(*rows) if rows else ([], [], [], [])
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
@@ -205,15 +207,17 @@ def _usual_task(profiles: Profiles) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def usual_scores(labelled: DataFrame, profiles: Profiles) -> dict[str, dict[int, float]]:
-    """The median score of beginnings of the given rows, by language and length class.
+def usual_scores(labelled: DataFrame, profiles: Profiles, bound: int = USUAL_ROWS) -> dict[str, dict[int, float]]:
+    """The median score of whole texts and their beginnings, by language and length class, over about ``bound`` given rows.
 
     Only those that are nearest to their own language count. Scores are counted in ``STEPS`` steps, so a median for each
     of ``CLASSES`` classes of at most ``MAX_LANGUAGES`` languages is all that comes to the driver.
     """
-    # No beginning needs more than this of a text; words longer than that on average give fewer beginnings.
-    start = F.substring("text", 1, 64 * BEGINNINGS[-1]).alias("text")
-    rows = labelled.where("text is not null and lang is not null").select("lang", start)
+    rows = labelled.where("lang is not null")
+    # The same rows whatever else is in the table: a hash below a bound, which is all of them in a small table.
+    part = min(1.0, bound / max(1, rows.count()))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(part * (1 << 40))
+    rows = rows.where(chosen & F.col("text").isNotNull()).select("lang", "text")
     counts = rows.mapInArrow(_usual_task(profiles), "lang string, size int, step int, n long")
     counts = counts.groupBy("lang", "size", "step").agg(F.sum("n").alias("n"))
     usual: dict[str, dict[int, float]] = {}
