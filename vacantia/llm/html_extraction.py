@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -49,6 +50,7 @@ _INLINE = frozenset(
 )
 # An open one of these ends where another of them begins.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_ENDED = {name: [n for n, by in _ENDS.items() if name in by] for name in {x for by in _ENDS.values() for x in by}}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words of class and id attributes that name what is never main text; the second list holds outside articles only,
 # the third is all that counts for an article element itself.
@@ -100,8 +102,10 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
     """
     blocks: list[tuple[str, int]] = []
     parts: list[str] = []
-    # Open elements: name, and the state of their text (None: silent).
+    # Open elements: name, and the state of their text (None: silent); and how many of a name are open, so that an end
+    # without a beginning looks for none.
     stack: list[tuple[str, int | None]] = [("", UNDECIDED)]
+    opened: Counter[str] = Counter()
 
     def close() -> None:
         state = stack[-1][1]
@@ -112,6 +116,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
     def drop(to: int) -> None:
         if any(n not in _INLINE for n, _ in stack[to:]) or stack[to - 1][1] != stack[-1][1]:
             close()
+        opened.subtract(n for n, _ in stack[to:])
         del stack[to:]
 
     at = 0
@@ -125,7 +130,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             continue
         name = name.lower()
         if token["end"] or token["end2"]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[depth][0] == name:
                     drop(depth)
                     break
@@ -135,7 +140,8 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             continue
         if name not in _INLINE:
             # A paragraph ends where any block begins, an item where its sibling begins.
-            for depth in range(len(stack) - 1, 0, -1):
+            ended = opened["p"] or any(opened[n] for n in _ENDED.get(name, ()))
+            for depth in range(len(stack) - 1, 0, -1) if ended else ():
                 open_name = stack[depth][0]
                 if open_name == "p" or name in _ENDS.get(open_name, ()):
                     drop(depth)
@@ -152,6 +158,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             close()
         if not (rest or "").endswith("/") or name in _INLINE:
             stack.append((name, state))
+            opened[name] += 1
         if state is None and name in ("script", "style"):
             # Their text ends at the end tag only, whatever it looks like.
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -219,7 +226,7 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray
     return np.cumsum(edges)[:count] > 0
 
 
-def unique_runs(blocks: list[list[str]], run: int = RUN, share: float = COVERED) -> Callable[[np.ndarray], list[str]]:
+def unique_runs(blocks: list[list[str]], share: float = COVERED) -> Callable[[np.ndarray], list[str]]:
     """What stays of a page's blocks, given which of their tokens are covered."""
 
     def kept(covered: np.ndarray) -> list[str]:
@@ -231,8 +238,7 @@ def unique_runs(blocks: list[list[str]], run: int = RUN, share: float = COVERED)
                 out.append(" ".join(words))
                 continue
             cuts = np.nonzero(np.diff(np.concatenate(([True], own, [True])).astype(np.int8)))[0].reshape(-1, 2)
-            runs = [" ".join(words[a:b]) for a, b in cuts.tolist() if b - a >= run]
-            out.append(" ".join(runs))
+            out.append(" ".join(" ".join(words[a:b]) for a, b in cuts.tolist()))
         return out
 
     return kept
@@ -318,7 +324,7 @@ def _main(run: int, share: float) -> Callable:
                 # An article that is repeated as a whole is a copy with few changes, not a part of the site.
                 if often[sure].sum() >= share * sure.sum():
                     often[:] = False
-                left = unique_runs(words, run, share)(np.where(sure, often, hits))
+                left = unique_runs(words, share)(np.where(sure, often, hits))
             # The check by markup.
             out.append("\n\n".join(x for x, b in zip(left, own) if x and b["state"] != BESIDE))
         return pa.array(out, pa.string())
