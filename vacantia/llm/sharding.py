@@ -94,15 +94,15 @@ def write_shards(shards: DataFrame, path: str, rows_per_file: int = 250_000) ->
 
 
 def digest(documents: DataFrame, shards: int = 16) -> DataFrame:
-    """The contract's columns for ``documents``: a null text has no bytes, so size 1 and checksum 0."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    records = documents.select(
-        "doc_id",
+    """The contract's columns for ``documents``, from whole records as they lie in their shards.
+
+    A null text has no bytes, so size 1 and checksum 0; other rows and columns as in ``sharded``.
+    """
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    return sharded(documents, shards).select(
+        "record.doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    return sharded(records, shards).select(
-        "record.*",
         F.lit("rows").alias("law"),
         "shard",
         "slot",
