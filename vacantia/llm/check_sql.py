@@ -50,16 +50,17 @@ def secrets() -> str:
 
 
 def licenses() -> str:
-    """Places of phrases by list comparison, and every line's words against every template."""
+    """Places of phrases by list comparison, and the words of overlapping stretches against every template."""
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     phrases = ", ".join(f"({p.split()!r}, {_text(label)})" for p, label in L.PHRASES.items())
 
     def template(label: str, text: str) -> str:
-        words = sorted({w.decode() for block in L.blocks_of(text.encode()) for w in block})
+        words = sorted({w.decode() for w in L.words_of(text.encode())})
         return f"({_text(label)}, {words!r}, {max(1, ceil(L.THRESHOLD * len(words) - 1e-9))})"
 
     templates = ", ".join(template(*t) for t in L.TEMPLATES)
+    step = max(len(L.words_of(t.encode())) for _, t in L.TEMPLATES) - 1
     return f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {lower} AS text FROM (
         SELECT doc_id, coalesce(text, '') AS text FROM documents) d),
       words AS MATERIALIZED (SELECT row, doc_id, regexp_extract_all(text, {word}) AS words FROM docs),
@@ -68,12 +69,12 @@ def licenses() -> str:
           unnest(range(1, len(words) - len(phrase) + 2)) AS i FROM words, phrases
           WHERE list_has_all(words, phrase)) x WHERE words[i:i + len(phrase) - 1] = phrase),
       templates(label, wanted, need) AS (VALUES {templates}),
-      blocks AS (SELECT row, block, list_distinct(regexp_extract_all(line, {word})) AS held FROM (
-          SELECT row, unnest(lines) AS line, generate_subscripts(lines, 1) AS block FROM (
-            SELECT row, string_split(text, chr(10)) AS lines FROM docs) a) b),
-      met AS (SELECT row, block, label, max(len(list_intersect(held, wanted)) / len(wanted)) AS share FROM blocks, templates
-        WHERE len(list_intersect(held, wanted)) >= need GROUP BY ALL),
-      best AS (SELECT row, label, share FROM (SELECT *, max(share) OVER (PARTITION BY row, block) AS top FROM met) m WHERE share = top),
+      blocks AS (SELECT row, spot, list_distinct(words[spot + 1:spot + {2 * step}]) AS held FROM (
+          SELECT row, words, unnest(range(0, greatest(1, len(words) - {step}), {step})) AS spot FROM words) b),
+      met AS MATERIALIZED (SELECT row, spot, label, hit, len(hit) AS n, len(hit) / len(wanted) AS share FROM (
+          SELECT row, spot, label, wanted, need, list_intersect(held, wanted) AS hit FROM blocks, templates) h WHERE len(hit) >= need),
+      best AS (SELECT row, label, share FROM met t WHERE NOT EXISTS (SELECT 1 FROM met u WHERE u.row = t.row
+          AND abs(u.spot - t.spot) <= {step} AND (u.share > t.share OR u.share = t.share AND u.n > t.n) AND list_has_all(u.hit, t.hit))),
       base AS (SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY row),
       labels AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (

@@ -1,10 +1,15 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a short notice; both are sets of words. A block meets a template if it
-holds at least the threshold's share of the template's words. Words are ordered by how many blocks of the corpus
-have them, rarest first. A block that meets a template must hold one of its first ``n - need + 1`` words (prefix
-filter), have ``need`` words of any template at all (length filter), and from the first common word on both sides
-must still have enough words left (position filter); only what passes all three is counted in full.
+A template is a short notice, a block a stretch of a text's words, line breaks or not: stretches overlap so far that
+every run of as many words as the longest template has lies in one. Both are sets of words. A block meets a template if
+it holds at least the threshold's share of the template's words. Words are ordered by how often the corpus has them, rarest
+first. A block that meets a template must hold one of its first ``n - need + 1`` words (prefix filter), have ``need`` words of
+any template at all (length filter), and from the first common word on both sides must still have enough words left
+(position filter); only what passes all three is counted in full.
+
+Every template met gives its label, but where the same words speak better for another: notices of one family share most
+words, and the edge of a block may cut a notice. A template met in a block yields to one that is met there or in a block
+beside it, holds all of the words the block has of the first, and has a greater share, or as great a share of more words.
 
 The templates are a bounded table that every task holds; blocks meet it where they are read, so texts are never
 moved and no pair of blocks is ever made.
@@ -50,13 +55,17 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
-# ASCII but digits and lower-case letters parts words; line breaks also part blocks.
-_APART = bytes(b if b >= 0x80 or b == 0x0A or chr(b).isdigit() or chr(b).islower() else 0x20 for b in range(256))
+# ASCII but digits and lower-case letters parts words.
+_APART = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else 0x20 for b in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().translate(_APART).split()
 
 
-def blocks_of(text: bytes) -> list[list[bytes]]:
-    """Words of each line."""
-    return [line.split() for line in text.lower().translate(_APART).split(b"\n")]
+def block_starts(words: int, step: int) -> range:
+    """Where the blocks of so many words begin; each has twice ``step`` words."""
+    return range(0, max(1, words - step), step)
 
 
 @dataclass(frozen=True)
@@ -75,26 +84,28 @@ class Template:
 class Join:
     """The templates under a word order, indexed by the words of their prefixes."""
 
-    def __init__(self, templates: list[tuple[str, str]], blocks_with: dict[bytes, int], threshold: float) -> None:
-        words = {w for _, t in templates for b in blocks_of(t.encode()) for w in b}
+    def __init__(self, templates: list[tuple[str, str]], occurrences: dict[bytes, int], threshold: float) -> None:
+        held = [(label, words_of(t.encode())) for label, t in templates]
+        words = {w for _, own in held for w in own}
         if len(words) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
-        order = sorted(words, key=lambda w: (blocks_with.get(w, 0), w))
+        # Blocks of twice this many words, this far apart, hold every run as long as the longest template.
+        self.step = max(1, max((len(own) for _, own in held), default=1) - 1)
+        order = sorted(words, key=lambda w: (occurrences.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.by_prefix: dict[int, list[tuple[int, Template]]] = {}
-        for label, text in templates:
-            ranks = tuple(sorted({self.rank[w] for b in blocks_of(text.encode()) for w in b}))
+        for label, own in held:
+            ranks = tuple(sorted({self.rank[w] for w in own}))
             template = Template(label, ranks, max(1, ceil(threshold * len(ranks) - 1e-9)))
             for place, rank in enumerate(template.prefix):
                 self.by_prefix.setdefault(rank, []).append((place, template))
 
-    def __call__(self, words: list[bytes]) -> dict[str, float]:
-        """Labels of the templates a block meets, each with the greatest containment."""
-        own = {self.rank[w] for w in words if w in self.rank}
+    def met(self, own: set[int]) -> list[tuple[Template, frozenset[int]]]:
+        """The templates that a block's ranks meet, each with the ranks it holds."""
         if self.by_prefix.keys().isdisjoint(own):
-            return {}
+            return []
         held = sorted(own)
-        met: dict[str, float] = {}
+        met: list[tuple[Template, frozenset[int]]] = []
         tried: set[Template] = set()
         for at, rank in enumerate(held):
             for place, template in self.by_prefix.get(rank, ()):
@@ -104,11 +115,31 @@ class Join:
                 size = len(template.ranks)
                 if len(held) < template.need or min(size - place, len(held) - at) < template.need:
                     continue
-                share = len(own.intersection(template.ranks)) / size
-                if share * size >= template.need:
-                    met[template.label] = max(met.get(template.label, 0.0), share)
+                both = frozenset(own.intersection(template.ranks))
+                if len(both) >= template.need:
+                    met.append((template, both))
         return met
 
+    def __call__(self, words: list[bytes]) -> dict[str, float]:
+        """Labels of the templates that a text's blocks meet and no better one covers, each with its greatest share."""
+        ranks = [self.rank.get(w, -1) for w in words]
+        found: list[tuple[int, Template, frozenset[int]]] = []
+        for at in block_starts(len(words), self.step):
+            own = set(ranks[at : at + 2 * self.step])
+            own.discard(-1)
+            found += [(at, template, both) for template, both in self.met(own)]
+        labels: dict[str, float] = {}
+        for at, template, both in found:
+            share = len(both) / len(template.ranks)
+
+            def better(place: int, other: Template, words: frozenset[int]) -> bool:
+                own = len(words) / len(other.ranks)
+                return abs(place - at) <= self.step and (own, len(words)) > (share, len(both)) and words >= both
+
+            if not any(better(*other) for other in found):
+                labels[template.label] = max(labels.get(template.label, 0.0), share)
+        return labels
+
 
 def places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """Every place (number of its first word) where a phrase's words stand one after the other, and its label."""
@@ -129,8 +160,7 @@ def _frequency_task(vocabulary: frozenset[bytes]) -> Callable[[Iterator[pa.Recor
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 for text in batch.slice(at, SLICE).column(0).cast(pa.large_binary()).to_pylist():
-                    for block in blocks_of(text or b""):
-                        counts.update(vocabulary.intersection(block))
+                    counts.update(w for w in words_of(text or b"") if w in vocabulary)
         words = [w.decode() for w in counts]
         yield pa.record_batch([pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
@@ -138,8 +168,8 @@ def _frequency_task(vocabulary: frozenset[bytes]) -> Callable[[Iterator[pa.Recor
 
 
 def word_order(documents: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
-    """In how many blocks of the corpus each word of a template occurs: at most a row per such word."""
-    vocabulary = frozenset(w for _, t in templates for b in blocks_of(t.encode()) for w in b)
+    """How often each word of a template occurs in the corpus: at most a row per such word."""
+    vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
     counts = documents.select("text").mapInArrow(_frequency_task(vocabulary), "word string, n long")
     return {r["word"].encode(): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
@@ -149,16 +179,9 @@ def scanned(text: Column, join: Join, phrases: dict[str, str]) -> Column:
 
     def make() -> Callable[[list[bytes | None]], list[dict]]:
         def one(text: bytes | None) -> dict:
-            blocks = blocks_of(text or b"")
-            words = [w for b in blocks for w in b]
+            words = words_of(text or b"")
             found = places(words, phrases)
-            met: dict[str, float] = {}
-            for block in blocks:
-                # Notices of one family share most words: a block speaks for the ones it holds most of.
-                shares = join(block)
-                best = max(shares.values(), default=0.0)
-                for label in (name for name, share in shares.items() if share == best):
-                    met[label] = max(met.get(label, 0.0), best)
+            met = join(words)
             base = {label for _, label in found}
             return {
                 "n_words": len(words),
@@ -179,6 +202,7 @@ def scanned(text: Column, join: Join, phrases: dict[str, str]) -> Column:
 def digest(
     documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """The contract's columns for ``documents``; repeated rows are scanned each, ties need no rule."""
+    """The contract's columns for ``documents``; repeated rows are scanned each, templates met equally well all give their
+    labels, a null text is empty, and an empty table gives no row. Columns but ``doc_id`` and ``text`` are not read."""
     join = Join(list(templates), word_order(documents, list(templates)), threshold)
     return documents.select("doc_id", scanned(F.col("text"), join, PHRASES).alias("found")).select("doc_id", "found.*")
