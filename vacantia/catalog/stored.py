@@ -12,7 +12,7 @@ from vacantia.operators import maintenance as M
 from vacantia.operators import resolve as R
 from vacantia.plans import binding as B
 from vacantia.plans import ingest as I
-from vacantia.plans.session import scratch_folder
+from vacantia.plans.session import scratch_folder, written
 from vacantia.plans.tables import SCHEMAS, Tables
 
 catalog = Catalog()
@@ -95,10 +95,10 @@ def company_versions(spark, sf):
 
 def _swept(spark: SparkSession, sf: str, jobs: DataFrame | None = None) -> Tables:
     """Stored listings and jobs after a sweep."""
-    listings = RC._unique_listings(spark, sf)
-    runs = RC._runs(spark, sf)
+    listings = written(RC._unique_listings(spark, sf))
+    runs = written(RC._runs_of(listings))
     # As earlier sweeps left them: a job without an active listing is not active.
-    jobs = _full("jobs", M.sweep(listings, RC._fresh_jobs(spark, sf) if jobs is None else jobs, runs.limit(0))[1])
+    jobs = written(_full("jobs", M.sweep(listings, RC._fresh_jobs(spark, sf) if jobs is None else jobs, runs.limit(0))[1]))
     tables = _stored(
         spark, listings=listings, jobs=jobs, job_listings=listings.select("job_id", *M.LISTING), runs=runs,
         facet_counts=A.facet_counts(jobs, A.technologies_of(jobs), _full("listings", listings)),

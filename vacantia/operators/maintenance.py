@@ -157,15 +157,17 @@ def swept_since(runs: DataFrame) -> DataFrame:
 
 def stale_listings(listings: DataFrame, runs: DataFrame) -> DataFrame:
     """Active listings that the last successful run of their source did not see."""
-    return listings.filter("is_active").join(swept_since(runs), "source_slug").filter("last_seen_at < since").drop("since")
+    since = F.broadcast(swept_since(runs))
+    return listings.filter("is_active").join(since, "source_slug").filter("last_seen_at < since").drop("since")
 
 
 def sweep(listings: DataFrame, jobs: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Retire listings a successful run of their source did not see, and jobs left without any.
 
-    A run that was partial or failed retires nothing.
+    A run that was partial or failed retires nothing. There is a row per source of when its run began, so listings are not
+    sent to one task by source for it.
     """
-    started = swept_since(runs).withColumnRenamed("since", "_since")
+    started = F.broadcast(swept_since(runs).withColumnRenamed("since", "_since"))
     stale = F.col("_since").isNotNull() & (F.col("last_seen_at") < F.col("_since"))
     swept = (
         listings.join(started, "source_slug", "left").withColumn("is_active", F.col("is_active") & ~stale)
