@@ -56,7 +56,7 @@ def _day(column: str) -> Column:
 )
 def listing_versions(spark, sf):
     """Listings after three versions: what was there, an upsert of half of them, a touch. Each writes what it changes."""
-    unique = RC._unique_listings(spark, sf)
+    unique = written(RC._unique_listings(spark, sf))
     tables, job = _stored(spark, listings=unique), F.col("job_id")
     changes = unique.filter(job % 2 == 0).select(
         "source_slug",
