@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ from vacantia.sources.shared import as_postings, labelled, listed, one_line, par
 
 # --- structured data --------------------------------------------------------------------
 
+# Pages whose blocks and postings are Python values at a time: a task never holds a whole Arrow batch as such.
+SLICE = 64
+
 _BLOCK = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
@@ -80,9 +84,11 @@ def _searching(find, only_first: bool):
                 break
         return out
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def search(blocks: pd.Series) -> pd.Series:
-        return blocks.map(postings)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                yield pa.array([postings(b) for b in batch.slice(at, SLICE).to_pylist()], pa.list_(pa.string()))
 
     return search
 
