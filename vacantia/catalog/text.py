@@ -10,6 +10,7 @@ from vacantia.functions import fields as FL
 from vacantia.functions import labels as L
 from vacantia.functions import text as T
 from vacantia.plans import binding as B
+from vacantia.plans.session import written
 
 catalog = Catalog()
 
@@ -172,10 +173,14 @@ def trigram_dice(spark, sf):
       round(len(list_intersect(c, d)) / len(list_distinct(list_concat(c, d))), 9) AS texts FROM grams"""),
 )
 def word_similarity(spark, sf):
-    return _neighbours(spark, sf).select(
-        "doc_id",
-        F.round(T.pg_similarity(F.col("raw_title"), F.col("next_title")), 9).alias("titles"),
-        F.round(T.pg_similarity(F.col("a"), F.col("b")), 9).alias("texts"),
+    # A document is the left one of a pair and the right one of another: its sets are made once.
+    docs = written(B.raw_postings(spark, sf).select(
+        "doc_id", T.word_grams(F.col("raw_title")).alias("titles"), T.word_grams(F.col("description")).alias("texts")
+    ))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("titles").alias("next_titles"), F.col("texts").alias("next_texts"))
+    return docs.join(after, "doc_id").select(
+        "doc_id", F.round(T.pg_similarity(F.col("titles"), F.col("next_titles"), made=True), 9).alias("titles"),
+        F.round(T.pg_similarity(F.col("texts"), F.col("next_texts"), made=True), 9).alias("texts"),
     )
 
 
